@@ -105,7 +105,7 @@ class Roster:
         if re.search(r"[:：>\]]$", word) or re.fullmatch(r"[-–]", word):
             core = re.sub(r"[\s:：>\]–-]+$", "", word).lower()
             if core in self.first or core + "." in self.first or re.fullmatch(_NUMBER, core) or not core:
-                found[SE] = 2.5
+                found[SE] = 3.5
         return found
 
 
@@ -151,12 +151,15 @@ def tag(words: list[str | None], roster: Roster) -> tuple[list[str], list[int |
             end = k
             while states[end] not in (S1, SE):
                 end += 1
-            who = roster.who(" ".join(rows[k : end + 1]))
-            real = who is not None or bool(_CALLED.match(" ".join(rows[k : end + 1])))
-            for j in range(k, end + 1):
-                tags[at[j]] = "speaker" if real else SPEECH
-            if real:
-                label[at[k]] = who or 0
+            for first in range(k, end + 1):  # rows before the longest end that names somebody are speech
+                text = " ".join(rows[first : end + 1])
+                who = roster.who(text)
+                if who is not None or _CALLED.match(text):
+                    for i in at[first : end + 1]:
+                        tags[i] = "speaker"
+                    label[at[first]] = who or 0
+                    break
+                tags[at[first]] = SPEECH
             k = end + 1
             continue
         tags[at[k]] = s.split("-")[0]
