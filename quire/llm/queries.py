@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import field_match, segment, split, turns
+from quire.llm import bitext, field_match, mix, pack, pii, segment, split, tokens, turns
 from quire.plans.registry import Registry
 from quire.sources.tables import once, table
 
@@ -104,3 +104,83 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add("p6_pieces")
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.piece_rows(split.split_items(_items(spark, d), table(spark, d, "size_limits")))
+
+
+# --- 3: bilingual documents -----------------------------------------------------------------------------
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return bitext.align_documents(table(spark, d, "docx_sentences"), table(spark, d, "glossary"))
+
+
+@LLM.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select(F.least("src_id", "tgt_id").alias("sent_id_a"), F.greatest("src_id", "tgt_id").alias("sent_id_b")).distinct()
+
+
+@LLM.add("p3_links")
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links with their score and whether they are weak."""
+    return _links(spark, d).withColumn("low_confidence", F.col("score") < 0.55)
+
+
+# --- 7: containers --------------------------------------------------------------------------------------
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tokens.token_count(F.col("text")).alias("tokens"))
+
+
+@LLM.add("p7_contents")
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(_sizes(spark, d), table(spark, d, "pack_targets"))
+
+
+@LLM.add("p7_containers")
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "pack_targets")
+    return pack.containers(pack.pack(_sizes(spark, d), targets), targets)
+
+
+@LLM.add("p7_summary")
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers per target beside the least number that the total size allows."""
+    full = F.sum("used") / F.sum("capacity_tokens")
+    least = F.ceil(F.sum("used") / F.first("capacity_tokens"))
+    return p7_containers(spark, d).groupBy("target_name").agg(F.count("*").alias("containers"), least.alias("least_possible"), F.sum("unused").alias("unused"), F.round(full, 6).alias("filled"))
+
+
+# --- 8: mixtures ----------------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("text_key"), tokens.token_count(F.col("text")).alias("tokens"))
+    return mix.mix(rows, table(spark, d, "mix_targets"))
+
+
+@LLM.add("p8_drawn")
+def p8_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+@LLM.add("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(*_mixed(spark, d))
+
+
+# --- 9: personal information ----------------------------------------------------------------------------
+
+#: The key of a run's pseudonyms; deployments give their own.
+_KEY = "quire-demo-key"
+
+
+@LLM.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "speaker_roster"))
+    return found.select("doc_id", F.explode("finds").alias("f")).select("doc_id", F.col("f.kind").alias("pii_kind"), F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"))
+
+
+@LLM.add("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "speaker_roster"), _KEY)
+    return found.select("doc_id", F.col("clean").alias("text"))
