@@ -24,6 +24,8 @@ from quire.session import cut_lineage
 
 #: Hash bins per source.
 BINS = 1 << 14
+#: Bins listed beside a threshold.
+MOST_MORE = 200
 #: Rows of plans; they are a bounded list.
 MOST_PLAN_ROWS = 100_000
 
@@ -51,6 +53,25 @@ def water_fill(shares: dict[str, float], caps: dict[str, float], budget: float)
     return given
 
 
+def threshold(tokens: list[int], part: float) -> tuple[int, list[int]]:
+    """Bins below the first number, and those listed, hold nearly ``part`` tokens.
+
+    The bin that would overshoot is passed over, and later ones that fit fill what is missing.
+    """
+    below, at = 0, 0
+    while at < len(tokens) and below + tokens[at] <= part:
+        below += tokens[at]
+        at += 1
+    more = []
+    for k in range(at + 1, len(tokens)):
+        if part - below < 1e-4 * part or len(more) >= MOST_MORE:
+            break
+        if tokens[k] and below + tokens[k] <= part:
+            below += tokens[k]
+            more.append(k)
+    return at, more
+
+
 def mix(items: DataFrame, plans: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(drawn rows with their repeats, the plan's wanted tokens per source).
 
@@ -81,15 +102,12 @@ def mix(items: DataFrame, plans: DataFrame, seed: int = 7) -> tuple[DataFrame, D
         for s, tokens in water_fill(wanted[plan], limits, budgets[plan]).items():
             whole = int(tokens // have[s]) if have[s] else 0
             part = tokens - whole * have[s] if have[s] else 0.0
-            below, at = 0, 0
-            while at < BINS and below + bins[s][at] / 2 < part:  # the bin that the threshold falls in goes to the nearer side
-                below += bins[s][at]
-                at += 1
+            at, more = threshold(bins[s], part)
             if whole >= caps[plan][s]:
-                whole, at = caps[plan][s], 0
-            rows.append((plan, s, wanted[plan][s], tokens, budgets[plan], whole, at))
-    report = spark.createDataFrame(rows, "plan_name string, source string, target_share double, wanted_tokens double, budget_tokens double, whole int, threshold int")
-    part = F.when(F.col("bin") < F.col("threshold"), 1).otherwise(0)
+                whole, at, more = caps[plan][s], 0, []
+            rows.append((plan, s, wanted[plan][s], tokens, budgets[plan], whole, at, more))
+    report = spark.createDataFrame(rows, "plan_name string, source string, target_share double, wanted_tokens double, budget_tokens double, whole int, threshold int, more array<int>")
+    part = F.when((F.col("bin") < F.col("threshold")) | F.array_contains("more", F.col("bin")), 1).otherwise(0)
     drawn = texts.join(F.broadcast(report), "source").withColumn("repeats", F.col("whole") + part).filter(F.col("repeats") > 0)
     return drawn.select("plan_name", "source", "doc_id", "repeats", "tokens"), report
 
