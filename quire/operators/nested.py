@@ -16,7 +16,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,20 +109,25 @@ def visit(root_id, text, nodes: tuple[Node, ...], root_tag: str = "root") -> Ite
 def emit_tagged(df: DataFrame, id_col: str, json_col: str, nodes: tuple[Node, ...], root_tag: str = "root") -> DataFrame:
     """Tagged rows of all records; a narrow operation over the scan of two columns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in TAGGED.fields]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("root_id", pa.int64()), ("tag", pa.string()), ("key", pa.string()), ("parent_key", pa.string()), ("path", pa.list_(pa.int32())), ("payload", pa.string())])
         rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
-            for root_id, text in zip(batch["root_id"], batch["doc"], strict=True):
-                for row in visit(None if pd.isna(root_id) else int(root_id), text, nodes, root_tag):
+            for root_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in visit(root_id, text, nodes, root_tag):
                     rows.append(row)
                     if len(rows) >= EMIT_ROWS:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                        yield flush()
+                        rows.clear()
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield flush()
 
-    return df.select(F.col(id_col).cast("bigint").alias("root_id"), F.col(json_col).cast("string").alias("doc")).mapInPandas(run, TAGGED)
+    return df.select(F.col(id_col).cast("bigint").alias("root_id"), F.col(json_col).cast("string").alias("doc")).mapInArrow(run, TAGGED)
 
 
 def table_of(tagged: DataFrame, tag: str, schema: str) -> DataFrame:
