@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ ALIASES = {
     "Date of Birth": ("DOB", "D.O.B.", "Birth Date", "Born on", "出生年月日", "生日", "出生年月"),
     "Place of Birth": ("Birthplace", "Born in", "POB", "出生地", "籍贯"),
     "Home Address": ("Address", "Residence", "Residential Address", "住址", "地址", "家庭住址", "居住地址"),
-    "Document Number": ("Doc. No.", "Document No.", "ID No.", "ID Number", "证号", "证件号", "证件编号"),
+    "Document Number": ("Doc. No.", "ID document no.", "ID document", "Doc Number", "Document No.", "ID No.", "ID Number", "证号", "证件号", "证件编号"),
     "Vehicle Class": ("Class", "Class of vehicle", "Vehicle Category", "车型", "准驾类别"),
     "Valid From": ("Valid as from", "Effective Date", "Start Date", "起始日期", "有效期起", "生效日期"),
     "Valid Until": ("Valid to", "Expiry Date", "Date of Expiry", "Expires", "Valid till", "截止日期", "有效期至", "有效期止", "失效日期"),
@@ -133,8 +134,11 @@ class Trie:
             ends = node.setdefault("", {})
             ends[entry] = max(slack, ends.get(entry, 0))
 
-    def search(self, query: str, most: int) -> dict[int, int]:
-        """Entry to distance, for all entries with a form within ``most`` errors of the query."""
+    def search(self, query: str, most: int, more: int = 0) -> dict[int, int]:
+        """Entry to distance, for all entries with a form within ``most`` errors of the query.
+
+        A form may have the errors it was given and ``more``.
+        """
         n = len(query)
         masks: dict[str, int] = {}
         for i, c in enumerate(query):
@@ -150,7 +154,7 @@ class Trie:
                 if c == "":
                     if (d := next((e for e, bits in enumerate(state) if bits & final), None)) is not None:
                         for entry, slack in child.items():
-                            if d <= slack and d < best.get(entry, most + 1):
+                            if d <= slack + more and d < best.get(entry, most + 1):
                                 best[entry] = d
                     continue
                 hit = masks.get(c, 0)
@@ -171,10 +175,14 @@ class Matcher:
     def __init__(self, entries: list[tuple[int, str, str]], aliases: dict[str, tuple[str, ...]]):
         forms = []
         for entry, zh, en in entries:
-            forms += [(fold(zh or ""), entry, 9), (fold(en or ""), entry, 9)]
+            forms += [(f, entry, allowance(len(f), bool(_HAN.search(f)))) for f in (fold(zh or ""), fold(en or ""))]
             forms += [(fold(a), entry, int(len(fold(a)) > 4)) for a in aliases.get(en, ())]
             forms += [(fold(s), entry, 0) for s in short_forms(en or "")]
         self.trie = Trie(f for f in forms if f[0])
+        self.letters: dict[int, list[Counter]] = {}
+        for form, entry, slack in forms:
+            if slack > 1:
+                self.letters.setdefault(entry, []).append(Counter(form))
         self.longest = max((len(f) for f, _, _ in forms), default=0)
         self.find = lru_cache(CACHE)(self._find)
 
@@ -183,7 +191,7 @@ class Matcher:
         best: dict[int, int] = {}
         for part in parts(value):
             han = bool(_HAN.search(part))
-            most = allowance(len(part), han)
+            most = allowance(len(part) + 2, han) if len(part) > 1 else 0  # a form may be longer than what is left of it
             if len(part) > self.longest + most:
                 continue
             for errors in range(most + 1):
@@ -191,6 +199,13 @@ class Matcher:
                     for entry, d in found.items():
                         best[entry] = min(d, best.get(entry, 99))
                     break
+        for part in parts(value) if not best else ():
+            # letters that changed places over more than one neighbour: an error more, if the letters are the same but one
+            if 6 <= len(part) <= self.longest + 2 and not _HAN.search(part):
+                have = Counter(part)
+                for entry, d in self.trie.search(part, allowance(len(part) + 2, False) + 1, 1).items():
+                    if any(sum(((have - c) + (c - have)).values()) <= 1 for c in self.letters.get(entry, ())):
+                        best[entry] = min(d, best.get(entry, 99))
         if not best:
             return 0, 99
         least = min(best.values())
