@@ -95,8 +95,10 @@ TABLES: dict[str, tuple[Rule, ...]] = {
         Rule(False, r"[.…][\"”’')\]]*", r"[ \t\r\n\u00a0\u3000]*(?:[a-z](?![A-Z])|[,;:%)])"),
         Rule(False, r"[!?…][\"”’')\]]*", r"[ \t\r\n\u00a0\u3000]*(?:[a-z](?![A-Z])|[,;:])"),
         Rule(False, r"\.", r"(?![a-z][A-Z][a-z])[\w/@](?<![A-Z])"),
-        Rule(False, r"(?:\d|(?<![A-Za-z])[A-Za-z])\.", r"[A-Za-z0-9]"),
-        Rule(False, r"(?:[\w-]+\.)+", r"[A-Za-z0-9]+[./]"),
+        Rule(True, r"[ap]\.m\.", r"[A-Z][a-z]"),
+        Rule(False, r"\d\.", r"[a-z0-9]|[A-Z](?![a-z]|\.\s)"),
+        Rule(False, r"(?<![A-Za-z])[A-Za-z]\.", r"[A-Za-z0-9]"),
+        Rule(False, r"(?:[\w-]+\.)+", r"[a-z0-9][A-Za-z0-9]*[./]"),
         Rule(True, r"[!?…][\"”’')\]]*", r""),
         Rule(True, r"\.[\"”’')\]]*", r"\s*$|" + _START),
         Rule(True, r"\.[\"”’')\]]*", r"\s"),
@@ -109,8 +111,10 @@ TABLES: dict[str, tuple[Rule, ...]] = {
         Rule(False, r"-Ing\.|(?<![\w])[A-Za-zÄÖÜ]\.", r"\s*\S"),
         Rule(False, r"[.…!?][\"“”’')\]]*", r"[ \t\r\n\u00a0\u3000]*(?:[a-zäöüß](?![A-Z])|[,;:%)])"),
         Rule(False, r"\.", r"(?![a-z][A-Z][a-z])[\w/@](?<![A-ZÄÖÜ])"),
-        Rule(False, r"(?:\d|(?<![A-Za-z])[A-Za-z])\.", r"[A-Za-z0-9]"),
-        Rule(False, r"(?:[\w-]+\.)+", r"[A-Za-z0-9]+[./]"),
+        Rule(True, r"[ap]\.m\.", r"[A-Z][a-z]"),
+        Rule(False, r"\d\.", r"[a-z0-9]|[A-Z](?![a-z]|\.\s)"),
+        Rule(False, r"(?<![A-Za-z])[A-Za-z]\.", r"[A-Za-z0-9]"),
+        Rule(False, r"(?:[\w-]+\.)+", r"[a-z0-9][A-Za-z0-9]*[./]"),
         Rule(True, r"[!?…][\"“”’')\]]*", r""),
         Rule(True, r"\.[\"“”’')\]]*", r"\s*$|\s|" + _START),
     ),

@@ -29,6 +29,10 @@ def test_lists_headings_and_wrapped_lines():
     assert list(S.iterate(text, "en")) == ["2.1 Delivery", "1. Fold it\nnever.", "2. Section 9.", "3.) Done.", "The weight is\n2.5 kg here.", "The next joins."]
 
 
+def test_joins_without_a_blank():
+    assert list(S.iterate("It is fine.Mr. Quill left.Dr. Ostrand signed p. 3.J. R. Umberton agreed. See www.halden.example/docs.html now.", "en")) == ["It is fine.", "Mr. Quill left.", "Dr. Ostrand signed p. 3.", "J. R. Umberton agreed.", "See www.halden.example/docs.html now."]
+
+
 def test_thai():
     assert list(S.iterate("ไฟล์แนบอ่านไม่ได้ สัญญามีทั้งหมด 5 หน้า ต้องการสำเนาเพิ่มหรือไม่", "th")) == ["ไฟล์แนบอ่านไม่ได้", "สัญญามีทั้งหมด 5 หน้า", "ต้องการสำเนาเพิ่มหรือไม่"]
 
