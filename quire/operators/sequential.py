@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.measure import let
+from quire.sources.tables import by_keys
 
 #: Positions or seconds of one block.
 BLOCK_ROWS, BLOCK_S = 2000, 600
@@ -40,7 +41,7 @@ def pack_sentences(rows: DataFrame, items: int = GROUP_ITEMS, chars: int = GROUP
         return g[["doc_key", "side", "block", "idx", "group_no"]]
 
     placed = rows.withColumn("block", F.floor(F.col("idx") / BLOCK_ROWS).cast("int"))
-    return placed.groupBy("doc_key", "side", "block").applyInPandas(run, "doc_key string, side string, block int, idx int, group_no int")
+    return by_keys(placed, "doc_key", "side", "block").groupBy("doc_key", "side", "block").applyInPandas(run, "doc_key string, side string, block int, idx int, group_no int")
 
 
 def chunk_spans(text: str, budget: int) -> list[str]:
@@ -96,7 +97,7 @@ def weak_windows(links: DataFrame, budget: int = 12, most_score: float = 0.55) -
 
     weak = F.coalesce("low_confidence", F.lit(False)) | F.coalesce(F.col("score") < most_score, F.lit(True))
     placed = links.withColumn("weak", weak).withColumn("block", F.floor(F.col("src_start") / BLOCK_ROWS).cast("int"))
-    return placed.groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, links int, units int")
+    return by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, links int, units int")
 
 
 # Limits of a subtitle.
@@ -157,7 +158,7 @@ def subtitles(words: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["task_id", "channel_id", "block", "segment_no", "start", "stop", "text", "words"])
 
     clean = words.filter(F.trim(F.coalesce("word", F.lit(""))) != "").withColumn("block", F.floor(F.col("word_start") / BLOCK_S).cast("int")).withColumn("channel_id", F.coalesce("channel_id", F.lit(-1)))
-    return clean.groupBy("task_id", "channel_id", "block").applyInPandas(run, "task_id string, channel_id int, block int, segment_no int, start double, stop double, text string, words int")
+    return by_keys(clean, "task_id", "channel_id", "block").groupBy("task_id", "channel_id", "block").applyInPandas(run, "task_id string, channel_id int, block int, segment_no int, start double, stop double, text string, words int")
 
 
 def consume(rows: list[tuple[int, str, str]], src: str, tgt: str) -> list[tuple[int, str]]:
@@ -289,7 +290,7 @@ def align_vectors(rows: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_key", "src_start", "src_end", "tgt_start", "tgt_end", "score", "low_confidence"])
 
     placed = rows.withColumn("block", F.floor(F.col("idx") / 500).cast("int"))
-    return placed.groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean")
+    return by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean")
 
 
 # --- variants ------------------------------------------------------------------------------------------

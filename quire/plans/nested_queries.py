@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import nested as N
 from quire.plans.registry import CORE
-from quire.sources.tables import once, table
+from quire.sources.tables import once, spread, table
 
 #: The same walk in SQL: unwrap strings, one page when there are none, one element for a single object.
 _WALK = """
@@ -31,7 +31,7 @@ v2 AS (SELECT * FROM v1 WHERE json_type(v) = 'OBJECT')
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return N.emit_tagged(table(spark, d, "preserve_results"), "result_id", "layout", N.LAYOUT)
+    return N.emit_tagged(spread(table(spark, d, "preserve_results").select("result_id", "layout")), "result_id", "layout", N.LAYOUT)
 
 
 def _tagged_once(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from quire.operators import sequential as S
 from quire.plans.registry import CORE
 from quire.sources import files
 from quire.sources.sinks import srt_blocks as blocks
-from quire.sources.tables import once, table
+from quire.sources.tables import once, spread, table
 
 
 @CORE.add("pack_sentences")
@@ -24,7 +24,7 @@ def pack_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("chunk_text")
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", S.chunk_text(F.col("text"), 3000).alias("c"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", S.chunk_text(F.col("text"), 3000).alias("c"))
     return rows.select("doc_id", F.posexplode("c").alias("chunk_no", "chunk"))
 
 
@@ -91,12 +91,12 @@ def box_nms(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("html_to_text")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", files.as_udf(files.html_to_text)(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", files.as_udf(files.html_to_text)(F.col("text")).alias("text"))
 
 
 @CORE.add("html_sanitize")
 def html_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", files.as_udf(files.sanitized)(F.col("text")).alias("markup"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", files.as_udf(files.sanitized)(F.col("text")).alias("markup"))
 
 
 @CORE.add("decode_text", "SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL ELSE 'utf-8-sig' END AS encoding FROM documents")
@@ -133,7 +133,7 @@ def variant_convert(spark: SparkSession, d: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, 0, 0) if t is None else S.convert_variants(t, rules, ambiguous) for t in texts], columns=["text", "replaced", "ambiguous"])
 
-    rows = table(spark, d, "documents").filter(F.col("lang") == "en").select("doc_id", run("text").alias("c"))
+    rows = spread(table(spark, d, "documents").filter(F.col("lang") == "en").select("doc_id", "text")).select("doc_id", run("text").alias("c"))
     return rows.select("doc_id", "c.text", "c.replaced", "c.ambiguous")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import measure as M
 from quire.plans.registry import CORE
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 _D = "SELECT doc_id, text, lang, source FROM documents WHERE text IS NOT NULL"
 _A, _B = "", ""  # private-use marks: a CJK character (twice), a token
@@ -49,7 +49,7 @@ def _kind_sql(w: str) -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source").filter(F.col("text").isNotNull())
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source").filter(F.col("text").isNotNull()))
 
 
 def _t() -> Column:

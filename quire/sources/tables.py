@@ -17,3 +17,21 @@ def once(df: DataFrame, key: str) -> DataFrame:
     count as one record.
     """
     return df.drop("loaded_at").dropDuplicates([key])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan ahead of heavy expressions, over all cores.
+
+    A table that is read in fewer partitions than there are cores is small, at most a split per core, so moving
+    it is cheap; larger tables stay as their files lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many partitions as the session shuffles to; the grouping that follows reuses it.
+
+    Named partitions are not merged by their bytes at run time: groups that compute much are small in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
