@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bitext, field_match, mix, pack, pii, segment, split, tokens, turns
 from quire.plans.registry import Registry
-from quire.sources.tables import once, table
+from quire.sources.tables import once, spread, table
 
 LLM = Registry()
 
@@ -19,7 +19,7 @@ _BLANK = r"(?U)^\s*$"
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     """Filled-in field names, each record once, with the entry they mean."""
-    rows = table(spark, d, "license_fields").select("field_id", "field_name").filter(F.col("field_name").isNotNull() & ~F.col("field_name").rlike(_BLANK))
+    rows = spread(table(spark, d, "license_fields").select("field_id", "field_name").filter(F.col("field_name").isNotNull() & ~F.col("field_name").rlike(_BLANK)))
     return once(rows.withColumn("label_id", field_match.match_values(rows, "field_name", table(spark, d, "field_labels"))), "field_id")
 
 
@@ -47,7 +47,7 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 @LLM.add("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return segment.segment(table(spark, d, "docx_blocks"), "block_id", "source_text", "lang").select("block_id", "span_start", "span_end")
+    return segment.segment(spread(table(spark, d, "docx_blocks").select("block_id", "source_text", "lang")), "block_id", "source_text", "lang").select("block_id", "span_start", "span_end")
 
 
 @LLM.add("p4_units")
@@ -83,7 +83,7 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 def _items(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "text_items").select(F.lit("text_item").alias("item_kind"), "item_id", "source_type", "text")
     blocks = table(spark, d, "docx_blocks").select(F.lit("docx_block").alias("item_kind"), F.col("block_id").alias("item_id"), F.lit(None).cast("string").alias("source_type"), F.col("source_text").alias("text"))
-    return items.unionByName(blocks)
+    return spread(items.unionByName(blocks))
 
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -128,7 +128,7 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tokens.token_count(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens.token_count(F.col("text")).alias("tokens"))
 
 
 @LLM.add("p7_contents")
@@ -154,7 +154,7 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("text_key"), tokens.token_count(F.col("text")).alias("tokens"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.sha2("text", 256).alias("text_key"), tokens.token_count(F.col("text")).alias("tokens"))
     return mix.mix(rows, table(spark, d, "mix_targets"))
 
 
@@ -176,11 +176,11 @@ _KEY = "quire-demo-key"
 
 @LLM.add("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "speaker_roster"))
+    found = pii.find_pii(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "speaker_roster"))
     return found.select("doc_id", F.explode("finds").alias("f")).select("doc_id", F.col("f.kind").alias("pii_kind"), F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"))
 
 
 @LLM.add("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "speaker_roster"), _KEY)
+    found = pii.find_pii(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "speaker_roster"), _KEY)
     return found.select("doc_id", F.col("clean").alias("text"))

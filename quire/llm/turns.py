@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
+from quire.sources.tables import by_keys
 
 #: Seconds of one block, and of the margin decoded with it on either side.
 BLOCK_S = 600.0
@@ -194,8 +195,8 @@ def tag_words(words: DataFrame, roster: DataFrame) -> DataFrame:
     t = F.col("word_start")
     home = F.floor(t / BLOCK_S).cast("int")
     near = F.array_compact(F.array(home, F.when(t >= (home + 1) * BLOCK_S - MARGIN_S, home + 1), F.when(t < home * BLOCK_S + MARGIN_S, home - 1)))
-    spread = words.select("word_id", "task_id", "channel_id", "word_start", "word", home.alias("home"), F.explode(near).alias("block")).withColumn("core", F.col("home") == F.col("block")).drop("home")
-    return spread.groupBy("task_id", "channel_id", "block").applyInPandas(run, TAGGED)
+    near_rows = words.select("word_id", "task_id", "channel_id", "word_start", "word", home.alias("home"), F.explode(near).alias("block")).withColumn("core", F.col("home") == F.col("block")).drop("home")
+    return by_keys(near_rows, "task_id", "channel_id", "block").groupBy("task_id", "channel_id", "block").applyInPandas(run, TAGGED)
 
 
 def turns(tagged: DataFrame) -> DataFrame:
