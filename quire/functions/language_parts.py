@@ -42,4 +42,5 @@ def parts(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else [{"language": k, "text": v} for k, v in language_parts(t).items()] for t in texts])
 
-    return run(text)
+    # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters
+    return run.asNondeterministic()(text)

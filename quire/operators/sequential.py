@@ -70,7 +70,8 @@ def chunk_text(text: Column, budget: int) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else chunk_spans(t, budget) for t in texts])
 
-    return run(text)
+    # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters
+    return run.asNondeterministic()(text)
 
 
 def weak_windows(links: DataFrame, budget: int = 12, most_score: float = 0.55) -> DataFrame:
