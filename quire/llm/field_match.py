@@ -241,4 +241,5 @@ def match_values(df: DataFrame, value: str, labels: DataFrame, aliases: dict[str
 
         return pd.Series([one(v) for v in values], dtype="Int32")
 
-    return meant(F.col(value))
+    # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters
+    return meant.asNondeterministic()(F.col(value))

@@ -246,7 +246,8 @@ def span_array(text: Column, lang: Column) -> Column:
     def found(texts: pd.Series, langs: pd.Series) -> pd.Series:
         return pd.Series([[{"start": a, "end": b} for a, b in spans(t, x)] for t, x in zip(texts, langs, strict=True)])
 
-    return found(text, lang)
+    # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters
+    return found.asNondeterministic()(text, lang)
 
 
 def segment(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:

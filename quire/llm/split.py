@@ -178,7 +178,7 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["pieces", "has_unbroken"])
 
     large = with_limits(items, limits).filter(F.length("text") > F.col("max_chars"))
-    found = large.select("item_kind", "item_id", cut("text", "max_chars", F.coalesce("overlap_chars", F.lit(0))).alias("c"))
+    found = large.select("item_kind", "item_id", cut.asNondeterministic()("text", "max_chars", F.coalesce("overlap_chars", F.lit(0))).alias("c"))
     return found.select("item_kind", "item_id", "c.pieces", "c.has_unbroken").dropDuplicates(["item_kind", "item_id"])
 
 

@@ -35,4 +35,5 @@ def token_count(text: Column, path: str | None = None) -> Column:
             made.append(load(where))
         return pd.Series([len(made[0].encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 
-    return count(text)
+    # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters
+    return count.asNondeterministic()(text)
