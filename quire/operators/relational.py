@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 
 def status_name(status: Column) -> Column:
     return F.lower(F.trim(status))
@@ -30,18 +32,50 @@ def page(tasks: DataFrame, order: list[Column], number: int, size: int) -> DataF
 
 
 def numbered(rows: DataFrame, order: str, key: str, out: str = "n") -> DataFrame:
-    """Global row numbers without a single task: counts per range partition, then numbers inside each.
+    """Global row numbers without a single task: ranges of equal size over (order, key), counted and offset.
+
+    The range a row fell in is kept in a checkpoint, as sampled ranges may differ when a lost part is computed
+    again. Equal values are spread by their keys, so a frequent one is no hot range.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(F.col(order), F.col(key)).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(order, key)
+    return ranged.join(offsets, "_part").withColumn(out, F.row_number().over(inside) + F.col("_before")).drop("_part", "_before")
+
+
+def numbered_within(rows: DataFrame, keys: list[str], block: Column, order: list[Column], out: str = "n") -> DataFrame:
+    """Row numbers within keys whose rows may be many: numbers inside blocks of the order, offset by the blocks before.
+
+    ``block`` must grow with the order.
+    """
+    placed = rows.withColumn("_block", block)
+    counts = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    return placed.join(offsets, [*keys, "_block"]).withColumn(out, F.row_number().over(inside) + F.col("_before")).drop("_block", "_before")
+
+
+def sessions(rows: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
+    """Sessions of a key: rows whose neighbours are ``seconds`` apart at most, with start, stop and count.
 
-    The ranges are by the value's first characters, so equal values stay together; prefix sums run over a
-    table of one row per range.
+    Rows are joined to runs inside days; only the first and last run of a day can go on in another, so a key with
+    many rows meets in one task with two rows a day.
     """
-    spread = rows.withColumn("_range", F.substring(order, 1, 3))
-    counts = spread.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(order, key)
-    joined = spread.join(offsets, F.col("_range").eqNullSafe(F.col("_r")))
-    return joined.withColumn(out, F.row_number().over(inside) + F.col("_before")).drop("_range", "_r", "_before")
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    timed = rows.select(key, t.alias("t"), F.floor(t / 86_400_000_000).alias("day"))
+    order = Window.partitionBy(key, "day").orderBy("t")
+    starts = F.when(F.col("t") - F.lag("t").over(order) <= seconds * 1_000_000, 0).otherwise(1)
+    runs = timed.withColumn("run", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "day", "run").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n"))
+    last = F.max("run").over(Window.partitionBy(key, "day"))
+    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == last))
+    by_start = Window.partitionBy(key).orderBy("start")
+    edges = runs.filter("edge")
+    goes_on = F.when((F.col("start") - F.lag("stop").over(by_start) <= seconds * 1_000_000) & (F.col("day") > F.lag("day").over(by_start)), 0).otherwise(1)
+    joined = edges.withColumn("s", goes_on).withColumn("s", F.sum("s").over(by_start.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "s").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
+    return joined.select(key, "start", "stop", "n").unionByName(runs.filter("NOT edge").select(key, "start", "stop", "n"))
 
 
 def running_rank(rows: DataFrame, at: str, out: str) -> DataFrame:

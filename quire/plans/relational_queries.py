@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import names as N
@@ -229,10 +229,8 @@ def json_scan(spark: SparkSession, d: str) -> DataFrame:
 i AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM i GROUP BY user_id, island""",
 )
 def session_islands(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user with gaps of an hour at most, by session windows, which merge without a sort per user."""
-    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    # a session window ends before its gap does; a microsecond more keeps a gap of exactly one hour together
-    return rows.groupBy("user_id", F.session_window("ts", "3600 seconds 1 microsecond").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+    """Events of a user with gaps of an hour at most."""
+    return R.sessions(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", 3600).select("user_id", F.col("start").alias("start_us"), "n")
 
 
 @CORE.add("page_groups", "SELECT l_orderkey, (l_linenumber - 1) // 3 AS page, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL")
@@ -285,16 +283,19 @@ def fix_date(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("reading_order", _F + " SELECT field_id, row_number() OVER (PARTITION BY doc_key ORDER BY coalesce(y, 999999), coalesce(x, 999999), field_id) AS place FROM f")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("doc_key").orderBy(F.coalesce("y", F.lit(999999)), F.coalesce("x", F.lit(999999)), "field_id")
-    return _fields(spark, d).select("field_id", F.row_number().over(order).cast("bigint").alias("place"))
+    y = F.coalesce("y", F.lit(999999))
+    rows = _fields(spark, d).select("doc_key", "field_id", "x", "y")
+    placed = R.numbered_within(rows, ["doc_key"], F.floor(y / 50), [y, F.coalesce("x", F.lit(999999)), F.col("field_id")], "place")
+    return placed.select("field_id", F.col("place").cast("bigint").alias("place"))
 
 
-@CORE.add("spatial_relation", _F + ", p AS (SELECT doc_key, field_id, field_name, x, y FROM f WHERE x IS NOT NULL AND y IS NOT NULL) SELECT a.field_id AS field_a, b.field_id AS field_b, CASE WHEN abs(a.y - b.y) <= 10 THEN CASE WHEN b.x > a.x THEN 'right' ELSE 'left' END WHEN b.y > a.y THEN 'below' ELSE 'above' END AS relation FROM p a JOIN p b ON a.doc_key = b.doc_key AND a.field_name = b.field_name AND a.field_id < b.field_id")
+@CORE.add("spatial_relation", _F + ", p AS (SELECT doc_key, field_id, field_name, x, y FROM f WHERE x IS NOT NULL AND y IS NOT NULL), a AS (SELECT doc_key, min(field_id) AS field_id, arg_min(x, field_id) AS x, arg_min(y, field_id) AS y FROM p GROUP BY doc_key) SELECT a.field_id AS field_a, b.field_id AS field_b, CASE WHEN abs(a.y - b.y) <= 10 THEN CASE WHEN b.x > a.x THEN 'right' ELSE 'left' END WHEN b.y > a.y THEN 'below' ELSE 'above' END AS relation FROM a JOIN p b ON a.doc_key = b.doc_key AND a.field_id < b.field_id")
 def spatial_relation(spark: SparkSession, d: str) -> DataFrame:
-    """How readings of one field of one certificate lie to each other."""
-    rows = _fields(spark, d).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("doc_key", "field_name", "field_id", "x", "y")
-    a, b = rows.alias("a"), rows.alias("b")
-    joined = a.join(b, (F.col("a.doc_key") == F.col("b.doc_key")) & (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.field_id") < F.col("b.field_id")))
+    """How the readings of a certificate lie to its first one; one row per reading, no pairs among them."""
+    rows = _fields(spark, d).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("doc_key", "field_id", "x", "y")
+    first = rows.groupBy("doc_key").agg(F.min("field_id").alias("field_id"), F.min_by("x", "field_id").alias("x"), F.min_by("y", "field_id").alias("y"))
+    a, b = first.alias("a"), rows.alias("b")
+    joined = a.join(b, (F.col("a.doc_key") == F.col("b.doc_key")) & (F.col("a.field_id") < F.col("b.field_id")))
     level = F.abs(F.col("a.y") - F.col("b.y")) <= 10
     relation = F.when(level, F.when(F.col("b.x") > F.col("a.x"), "right").otherwise("left")).otherwise(F.when(F.col("b.y") > F.col("a.y"), "below").otherwise("above"))
     return joined.select(F.col("a.field_id").alias("field_a"), F.col("b.field_id").alias("field_b"), relation.alias("relation"))
@@ -387,7 +388,10 @@ def variant_hits(spark: SparkSession, d: str) -> DataFrame:
     """How often the terms of a small dictionary occur; one pattern per text, not one pass per term."""
     import re
 
-    terms = sorted({r[0].lower() for r in table(spark, d, "glossary").select("term_en").filter("term_en is not null").limit(10_000).collect()}, key=lambda t: (-len(t), t))
+    listed = table(spark, d, "glossary").select("term_en").filter("term_en is not null").limit(10_001).collect()
+    if len(listed) > 10_000:
+        raise ValueError("the dictionary has more than 10,000 terms; one pattern can't hold them")
+    terms = sorted({r[0].lower() for r in listed}, key=lambda t: (-len(t), t))
     pattern = "(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + ")"
     found = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 1)).alias("term"))
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("h")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("h").alias("hits"))

@@ -34,16 +34,16 @@ def weak_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @CORE.add("weak_runs", """WITH l AS (SELECT doc_key, src_start, link_id, coalesce(low_confidence, false) AS weak FROM alignment_links),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY src_start, link_id) - row_number() OVER (PARTITION BY doc_key, weak ORDER BY src_start, link_id) AS run FROM l)
-SELECT doc_key, min(src_start) AS src_start, count(*) AS links FROM n WHERE weak GROUP BY doc_key, run""")
+n AS (SELECT *, src_start // 2000 AS block, row_number() OVER (PARTITION BY doc_key, src_start // 2000 ORDER BY src_start, link_id) - row_number() OVER (PARTITION BY doc_key, src_start // 2000, weak ORDER BY src_start, link_id) AS run FROM l)
+SELECT doc_key, min(src_start) AS src_start, count(*) AS links FROM n WHERE weak GROUP BY doc_key, block, run""")
 def weak_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of weak links, before they are cut by size."""
+    """Runs of weak links, before they are cut by size; they end with blocks of 2,000 rows."""
     from pyspark.sql import Window
 
-    rows = table(spark, d, "alignment_links").select("doc_key", "src_start", "link_id", F.coalesce("low_confidence", F.lit(False)).alias("weak"))
+    rows = table(spark, d, "alignment_links").select("doc_key", "src_start", "link_id", F.coalesce("low_confidence", F.lit(False)).alias("weak"), F.floor(F.col("src_start") / 2000).alias("block"))
     order = ["src_start", "link_id"]
-    run = F.row_number().over(Window.partitionBy("doc_key").orderBy(*order)) - F.row_number().over(Window.partitionBy("doc_key", "weak").orderBy(*order))
-    return rows.withColumn("run", run).filter("weak").groupBy("doc_key", "run").agg(F.min("src_start").alias("src_start"), F.count("*").alias("links")).drop("run")
+    run = F.row_number().over(Window.partitionBy("doc_key", "block").orderBy(*order)) - F.row_number().over(Window.partitionBy("doc_key", "block", "weak").orderBy(*order))
+    return rows.withColumn("run", run).filter("weak").groupBy("doc_key", "block", "run").agg(F.min("src_start").alias("src_start"), F.count("*").alias("links")).drop("block", "run")
 
 
 def _subtitles(spark: SparkSession, d: str) -> DataFrame:
