@@ -86,7 +86,10 @@ def mix(items: DataFrame, plans: DataFrame, seed: int = 7) -> tuple[DataFrame, D
     wanted: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     caps: dict[str, dict[str, int]] = defaultdict(dict)
     budgets: dict[str, float] = {}
-    for r in plans.select("plan_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_share").dropna().limit(MOST_PLAN_ROWS).collect():
+    listed = plans.select("plan_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_share").dropna().limit(MOST_PLAN_ROWS + 1).collect()
+    if len(listed) > MOST_PLAN_ROWS:
+        raise ValueError(f"the plans have more than {MOST_PLAN_ROWS} rows")
+    for r in listed:
         wanted[r[0]][r[1]] += r[2]
         caps[r[0]][r[1]] = max(int(r[3]), caps[r[0]].get(r[1], 0))
         budgets[r[0]] = float(r[4]) * corpus
