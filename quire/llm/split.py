@@ -3,7 +3,7 @@
 Method: lexical-cohesion segmentation. Similarity of the blocks of sentences on either side of every
 sentence gap is taken with two sliding bags of terms; valleys of that curve mark topic boundaries. In each
 window of permitted sizes the piece ends at the deepest valley; where the window has no sentence gap, at
-the last clause mark, then white space, and only in an unbroken stretch between two characters (never
+the last clause mark, then white space, then a mark inside a run of characters, and only in an unbroken stretch between two characters (never
 inside a cluster of combining marks or joined emoji).
 
 Defined results: null texts, blank texts and those within the limit give no piece; a limit of null gives
@@ -31,7 +31,8 @@ BROADCAST_ROWS = 100_000
 
 _SENTENCE = re.compile(r"[.!?](?=[\"'”’)\]]*\s)[\"'”’)\]]*|[。！？｡]+[”’」』）】》]*|(?:\r\n|[\n\r\f\v\x85  ])+")
 _PARAGRAPH = re.compile(r"(?:\r?\n[ \t]*){2,}|<page_break\s*/>\s*|\f")
-_CLAUSE = re.compile(r"[;；,，、:：]|[.!?。！？]")
+_CLAUSE = re.compile(r"[；，、：。！？]|[;,:.!?](?=\s)")
+_MARK = re.compile(r"[;,:.!?]")
 _SPACE = re.compile(r"\s+")
 _TERM = re.compile(r"[A-Za-zÀ-ɏ]{3,}|[฀-๿ऀ-ॿ؀-ۿ]{3,}|[㐀-鿿]|[゠-ヿ]{2,}")
 #: The marks that, beside white space, break a stretch.
@@ -138,7 +139,7 @@ def cuts(text: str, most: int, overlap: int) -> list[int]:
             cut = gaps[max(late, key=lambda k: (depths[k] + (0.1 if gaps[k] in paragraphs else 0.0), gaps[k]))]
         else:
             cut = 0
-            for pattern in (_CLAUSE, _SPACE):
+            for pattern in (_CLAUSE, _SPACE, _MARK):
                 for m in pattern.finditer(text, done + 1, top):
                     cut = m.end()
                 if cut:

@@ -39,6 +39,8 @@ def test_falls_back_to_clauses_blanks_and_whole_characters():
     assert S.pieces("a" * 10 + "，" + "b" * 15, 20, 0)[0] == (0, 11)
     assert S.pieces("a" * 10 + " " + "b" * 15, 20, 0)[0] == (0, 11)
     assert S.pieces("a" * 9 + "e\u0301" + "b" * 10, 10, 0)[0] == (0, 9)
+    assert S.pieces("total 12,345.67 euros and more", 12, 0)[0] == (0, 6)
+    assert S.pieces("a" * 10 + "," + "b" * 15, 20, 0)[0] == (0, 11)
     assert S.longest_stretch("ab.cde 12345") == 5
 
 
