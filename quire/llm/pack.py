@@ -2,8 +2,9 @@
 
 Method: the configuration linear program over the histogram of lengths. Its columns are the ways to fill one
 container; multiplicative weights on the lengths price them, and a knapsack by dynamic programming finds the
-column of greatest weight. The fractional solution is rounded down, what remains is packed by knapsack columns
-over the remaining counts, and the very last items by first fit in decreasing length.
+column of greatest weight, round by round until every length is covered. The fractional solution is rounded in
+the order of its columns, what remains is packed by knapsack columns over the remaining counts, and the very last
+items by first fit in decreasing length.
 
 All this sees only the histogram, whose size is bounded by the capacity (beyond ``MOST_CLASSES`` lengths,
 by classes of nearly equal length, each treated as its longest). Items are then matched to containers by
@@ -16,6 +17,8 @@ an empty table gives no container.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,11 +26,15 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 #: Lengths told apart exactly; beyond it, classes grow by this factor.
 MOST_CLASSES, CLASS_GROWTH = 500, 1.01
-#: Rounds of multiplicative weights and their step.
-ROUNDS, STEP = 36, 0.3
-#: Lengths offered to a column that packs what rounding left; the longest are always among them.
+#: Step of the multiplicative weights, and the part of a length's need that one round covers at most.
+STEP, SHARE = 0.005, 0.5
+#: What a length as long as the container is worth more a token, so that long ones aren't left for the end.
+LONGER = 0.01
+#: Lengths offered to a column; the longest are always among them.
 OFFERED = 110
 #: Items per bucket that a rank is counted in.
 BUCKET_ITEMS = 100_000
@@ -62,37 +69,70 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: i
     return counts
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns with how often each is used; together they hold exactly ``counts`` items."""
-    sizes, left = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64).copy()
-    total = left.copy()
-    chosen: list[tuple[np.ndarray, int]] = []
-    if not len(sizes) or not left.sum():
-        return chosen
-    need = total.astype(float)
-    weight, covered = np.ones(len(sizes)), np.zeros(len(sizes))
+def offered(active: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of the classes still open, the longest and the first in ``order``, as many as a column is priced over."""
+    if len(active) <= OFFERED:
+        return active
+    longest = active[-(OFFERED // 4) :]
+    rest = active[: -(OFFERED // 4)]
+    return np.sort(np.concatenate([rest[np.argsort(order[rest], kind="stable")[: OFFERED - OFFERED // 4]], longest]))
+
+
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Columns with fractional amounts that cover every length exactly, and their excess over size / capacity.
+
+    A weight falls with the part of its length that is covered and is 0 once all is. A round advances each length of
+    its column by ``SHARE`` of its need at most, so rounds grow with the number of lengths, and none is left uncovered.
+    Total size / capacity bounds the program from below, so the excess bounds the distance from its optimum.
+    """
+    open_, weight = need.astype(float), np.ones(len(sizes))
     columns: dict[bytes, list] = {}
-    for _ in range(ROUNDS):
-        price = weight / need
-        column = knapsack(sizes, price, total, capacity)
-        if not column.any():
+    while True:
+        active = np.flatnonzero(open_ > 1e-9 * need)
+        if not len(active):
             break
+        at = offered(active, -weight)
+        column = np.zeros(len(sizes), dtype=np.int64)
+        column[at] = knapsack(sizes[at], sizes[at] * weight[at] * (1.0 + LONGER * sizes[at] / capacity), np.ceil(open_[at] - 1e-9).astype(np.int64), capacity)
         used = column > 0
-        amount = float(np.min(need[used] / column[used]))
+        amount = float(np.min(np.minimum(open_[used], np.maximum(SHARE * need[used], 1.0)) / column[used]))
         columns.setdefault(column.tobytes(), [column, 0.0])[1] += amount
-        share = amount * column / need
-        covered += share
-        weight *= np.exp(-STEP * share)
-        weight /= weight.max()
-        if covered.min() * STEP > 6:
-            break
-    scale = 1.0 / max(covered.max(), 1e-9)  # nothing is covered twice; the rest is packed below
-    for column, amount in sorted(columns.values(), key=lambda c: -float(c[0] @ sizes)):
+        open_ -= amount * column
+        weight *= np.exp(-STEP * amount * column / need)
+    found = [(c, x) for c, x in columns.values()]
+    return found, sum(x for _, x in found) * capacity / float(sizes @ need) - 1
+
+
+def rounded(columns: list[tuple[np.ndarray, float]], sizes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole containers as they fall due, of a column its own amount rounded up at most; one that doesn't fit leaves
+    its share to the next. Columns emptier than the average are left out; their items are packed with the rest."""
+    left, due, out = counts.copy(), 0.0, []
+    usual = float(sizes @ counts) / max(sum(x for _, x in columns), 1e-9)
+    for column, amount in columns:
+        if column @ sizes < 0.99 * usual:
+            continue
+        due += amount
         used = column > 0
-        times = int(min(np.floor(amount * scale), np.min(left[used] // column[used])))
+        times = int(min(due + 1e-9, np.ceil(amount - 1e-9), np.min(left[used] // column[used])))
         if times > 0:
-            chosen.append((column, times))
+            out.append((column, times))
             left -= column * times
+            due -= times
+    return out
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns with how often each is used; together they hold exactly ``counts`` items."""
+    sizes, left = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64).copy()
+    total = left.copy()
+    chosen: list[tuple[np.ndarray, int]] = []
+    if not len(sizes) or not left.sum():
+        return chosen
+    columns, gap = fractional(sizes, total, capacity)
+    chosen = rounded(columns, sizes, total)
+    for column, times in chosen:
+        left -= column * times
+    log.info("capacity %d: program %.2f %% above total size / capacity, its rounding places %d of %d items", capacity, 100 * gap, int((total - left).sum()), int(total.sum()))
     while left.sum():
         active = np.flatnonzero(left)
         if len(active) > OFFERED:

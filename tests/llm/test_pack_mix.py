@@ -36,6 +36,18 @@ def test_patterns_hold_exactly_the_items():
     assert used <= 1.02 * (sizes @ counts / 100) + 2
 
 
+def test_the_program_covers_every_length_and_its_rounding_packs_most_items():
+    rng = random.Random(8)
+    hist = Counter(min(511, 1 + int(rng.expovariate(1 / 90))) for _ in range(10_000))
+    sizes = np.array(sorted(hist))
+    counts = np.array([hist[s] for s in sizes])
+    columns, gap = P.fractional(sizes, counts, 512)
+    assert np.allclose(sum(c * x for c, x in columns), counts) and all(c @ sizes <= 512 for c, _ in columns)
+    assert 0 <= gap < 0.01
+    placed = sum(c * n for c, n in P.rounded(columns, sizes, counts))
+    assert (placed <= counts).all() and placed.sum() > 0.5 * counts.sum()
+
+
 def test_pack(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([0, None, 7, 9, 33, 50, 64, 99, 100, 101, 250, 300])) for i in range(400)] + [(1000 + i, 7) for i in range(200)]
