@@ -309,15 +309,28 @@ def fill(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links: dict
             linked_j.add(before + 1)
 
 
-def _near(s: Sentence, others: list[Sentence], lexicon: Lexicon, most: int = 12) -> list[int]:
-    """The others that share most of a sentence's features, directly or by partners."""
-    wanted: dict[str, float] = {}
-    for f, w in s.weight.items():
-        wanted[f] = w
-        for g in lexicon.partners.get(f, ()):
-            wanted[g] = max(0.5 * w, wanted.get(g, 0.0))
-    votes = [(sum(wanted[f] for f in o.weight if f in wanted), -j) for j, o in enumerate(others)]
-    return [-j for v, j in sorted(votes, reverse=True)[:most] if v > 0]
+def covers(a: list[Sentence], b: list[Sentence], lexicon: Lexicon) -> list[dict[int, float]]:
+    """What ``covered`` gives for each of a with each of b that shares a feature, from an index over b."""
+    index: dict[str, list[int]] = defaultdict(list)
+    for j, t in enumerate(b):
+        for f in t.weight:
+            index[f].append(j)
+    out = []
+    for s in a:
+        sums: dict[int, float] = defaultdict(float)
+        for f, w in s.weight.items():
+            found: dict[int, float] = {}
+            for g, dice in lexicon.partners.get(f, {}).items():
+                v = min(1.0, 1.5 * dice)
+                for j in index.get(g, ()):
+                    if v > found.get(j, 0.0):
+                        found[j] = v
+            for j in index.get(f, ()):
+                found[j] = 1.0
+            for j, v in found.items():
+                sums[j] += w * v
+        out.append(sums)
+    return out
 
 
 def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links: dict[tuple[int, int], float]) -> None:
@@ -326,12 +339,18 @@ def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links:
     free_j = {j for j in range(len(tgt))} - {j for _, j in links}
     if not free_i and not free_j:
         return
-    near = {(i, j) for i in free_i for j in _near(src[i], tgt, lexicon)} if free_i else set()
-    near |= {(i, j) for j in free_j for i in _near(tgt[j], src, lexicon)} if free_j else set()
-    pairs = sorted(((likeness([src[i]], [tgt[j]], lexicon), i, j) for i, j in near if i in free_i and j in free_j), reverse=True)
-    for like, i, j in pairs:
-        if like < 0.5:
-            break
+    list_i, list_j = sorted(free_i), sorted(free_j)
+    of_src = {i: c for i, c in zip(list_i, covers([src[i] for i in list_i], tgt, lexicon), strict=True)}
+    of_tgt = {j: c for j, c in zip(list_j, covers([tgt[j] for j in list_j], src, lexicon), strict=True)}
+    same: dict[str, list[int]] = defaultdict(list)
+    for j in list_j:
+        same[tgt[j].copy].append(j)
+    pairs = [(1.0, i, j) for i in list_i for j in same.get(src[i].copy, ())]
+    for i, row in of_src.items():
+        for j, there in row.items():
+            if j in free_j and src[i].copy != tgt[j].copy and (like := (there + of_tgt[j].get(i, 0.0)) / (src[i].total + tgt[j].total)) >= 0.5:
+                pairs.append((like, i, j))
+    for like, i, j in sorted(pairs, reverse=True):
         if i in free_i and j in free_j:
             links[(i, j)] = like
             free_i.discard(i)
@@ -340,15 +359,10 @@ def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links:
     for i, j in links:
         of_i[i].add(j)
         of_j[j].add(i)
-    parts = []
-    for i, j in near:
-        if (i in free_i) == (j in free_j):
-            continue
-        part, whole = (src[i], tgt[j]) if i in free_i else (tgt[j], src[i])
-        if part.total:
-            parts.append((covered(part.weight, whole.weight, lexicon) / part.total, i, j))
+    parts = [(share, i, j) for i in free_i for j, c in of_src[i].items() if j not in free_j and (share := c / src[i].total) >= 0.6]
+    parts += [(share, i, j) for j in free_j for i, c in of_tgt[j].items() if i not in free_i and (share := c / tgt[j].total) >= 0.6]
     for share, i, j in sorted(parts, reverse=True):
-        if share < 0.6 or i not in free_i and j not in free_j:
+        if i not in free_i and j not in free_j:
             continue
         if i in free_i:
             before = likeness([src[k] for k in sorted(of_j[j])], [tgt[j]], lexicon)

@@ -83,3 +83,17 @@ def test_dirty_rows(spark):
     rows = [(1, "d", "src", None, 0, "Never fold the site plan!"), (2, "d", "tgt", None, 0, None), (3, "d", "tgt", "zh", 1, " ​"), (4, "d", "tgt", "zh", 2, "切勿折叠总平面图！"), (5, None, "src", "en", 0, "x"), (6, "d", "other", "en", 0, "x"), (7, "d", "src", "en", None, "no place"), (8, "e", "src", "en", 0, "alone"), (None, "d", "tgt", "zh", 3, "x")]
     assert [(r["src_id"], r["tgt_id"]) for r in run(spark, rows)] == [(1, 4)]
     assert run(spark, rows[:0]) == []
+
+
+def sentences(texts, lexicon):
+    return [B.Sentence(i, t, B.Terms([]), lexicon) for i, t in enumerate(texts)]
+
+
+def test_a_moved_row_is_found_behind_many_longer_ones():
+    lexicon = B.Lexicon([], {})
+    letters = "abcdefghijklmnopqrst"
+    longer, others = (["zebra quartz marble note remark " + " ".join(f"{x}{y}{end}" for y in letters) for x in letters] for end in ("word", "form"))
+    numbered = [f"Section {n} of part {n + 500}" for n in range(1000, 1010)]
+    src = sentences([*others, *numbered, "zebra quartz marble note"], lexicon)
+    tgt = sentences(["zebra quartz marble remark", *numbered, *longer], lexicon)
+    assert (30, 0) in {(i, j) for i, j, _ in B.align(src, tgt, lexicon)}
