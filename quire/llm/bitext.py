@@ -37,8 +37,8 @@ MOST_TERMS = 200_000
 LEAST_COUNT, LEAST_DICE, PARTNERS, MOST_PAIRS = 2, 0.2, 8, 1_000_000
 #: Sentences with more words than this teach no words; every word of theirs would be paired with every other.
 LEARN_WORDS = 150
-#: Rows of a gap beyond which the dynamic programming keeps to a band of this half width.
-BAND = 40
+#: Rows of a gap beyond which the dynamic programming visits only the steps that can gain.
+DENSE_ROWS = 40
 
 NUMBER_WEIGHT, TERM_WEIGHT, UNKNOWN_WEIGHT, HAN_WEIGHT = 3.0, 2.0, 0.25, 0.5
 NEED = 0.33
@@ -239,12 +239,12 @@ def align_gap(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> lis
     m, n = len(src), len(tgt)
     if not m or not n:
         return []
+    if max(m, n) > DENSE_ROWS:
+        return align_wide(src, tgt, lexicon)
     known: dict[tuple, float] = {}
     best = {(0, 0): (0.0, None)}
-    wide = max(m, n) > BAND
     for i in range(m + 1):
-        lo, hi = (0, n) if not wide else (max(0, i * n // m - BAND), min(n, i * n // m + BAND))
-        for j in range(lo, hi + 1):
+        for j in range(n + 1):
             if (i, j) == (0, 0):
                 continue
             top, how = -1.0, None
@@ -271,6 +271,86 @@ def align_gap(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> lis
     return out[::-1]
 
 
+def align_wide(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, int, int, float]]:
+    """The same optimum over a whole large gap, from the steps that gain alone; skipping is free.
+
+    A sentence of a group needs PART_SHARE of its weight in the other side, which is one sentence, so pairs tell
+    which groups can be. The best chain of steps comes from prefix maximums over the target's positions.
+    """
+    m, n = len(src), len(tgt)
+    of_src, of_tgt = covers(src, tgt, lexicon), covers(tgt, src, lexicon)
+    copies: dict[str, list[int]] = defaultdict(list)
+    for j, t in enumerate(tgt):
+        copies[t.copy].append(j)
+    shared = [sorted({*of_src[i], *copies.get(s.copy, ())}) for i, s in enumerate(src)]
+    steps: list[set[tuple[int, int, int]]] = [set() for _ in range(m + 1)]  # by their end in src: end in tgt and size
+    for i in range(m):
+        for j in shared[i]:
+            steps[i + 1].add((j + 1, 1, 1))
+            for k in (2, 3):  # every group holds a pair that shares features, at any of its places
+                for d in range(k):
+                    if 0 <= (first := j - d) and first + k <= n:
+                        if all(of_tgt[y].get(i, 0.0) >= PART_SHARE * tgt[y].total for y in range(first, first + k)):
+                            steps[i + 1].add((first + k, 1, k))
+                    if 0 <= (first := i - d) and first + k <= m:
+                        if all(of_src[x].get(j, 0.0) >= PART_SHARE * src[x].total for x in range(first, first + k)):
+                            steps[first + k].add((j + 1, k, 1))
+    for one, many, turned in ((src, tgt, False), (tgt, src, True)):  # a text that is exactly two or three others
+        whole: dict[str, list[int]] = defaultdict(list)
+        for i, s in enumerate(one):
+            whole[s.copy].append(i)
+        for k in (2, 3):
+            for j in range(len(many) - k + 1):
+                for i in whole.get("".join(t.copy for t in many[j : j + k]), ()):
+                    if turned:
+                        steps[j + k].add((i + 1, k, 1))
+                    else:
+                        steps[i + 1].add((j + k, 1, k))
+    # tree of prefix maximums over positions in tgt; entries are (score, number of the last step of the chain)
+    trees: list[tuple[float, int]] = [(0.0, -1)] * (n + 2)
+    taken: list[tuple[int, int, int, int, float, int]] = []
+    waiting: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
+
+    def before(j: int) -> tuple[float, int]:
+        top, at = (0.0, -1), j + 1
+        while at > 0:
+            if trees[at][0] > top[0]:
+                top = trees[at]
+            at -= at & -at
+        return top
+
+    found: list[tuple[int, int, int, int, float]] = []
+    for i in range(1, m + 1):
+        for j, di, dj in steps[i]:
+            like = likeness(src[i - di : i], tgt[j - dj : j], lexicon)
+            if like > NEED:
+                found.append((i - di, i, j - dj, j, like))
+    # in order of their start; chains that end at or before it are in the tree by then
+    for i0, i1, j0, j1, like in sorted(found):
+        for end in [e for e in sorted(waiting) if e <= i0]:
+            for at, score, no in waiting.pop(end):
+                at += 1
+                while at <= n + 1:
+                    if score > trees[at][0]:
+                        trees[at] = (score, no)
+                    at += at & -at
+        score, last = before(j0)
+        taken.append((i0, i1, j0, j1, like, last))
+        waiting[i1].append((j1, score + (like - NEED) * (i1 - i0 + j1 - j0), len(taken) - 1))
+    for ends in waiting.values():
+        for at, score, no in ends:
+            at += 1
+            while at <= n + 1:
+                if score > trees[at][0]:
+                    trees[at] = (score, no)
+                at += at & -at
+    out, no = [], before(n)[1]
+    while no >= 0:
+        out.append(taken[no][:5])
+        no = taken[no][5]
+    return out[::-1]
+
+
 def align(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, float]]:
     """Linked positions with their likeness."""
     fixed = chain(anchors(src, tgt, lexicon))

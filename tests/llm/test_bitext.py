@@ -97,3 +97,24 @@ def test_a_moved_row_is_found_behind_many_longer_ones():
     src = sentences([*others, *numbered, "zebra quartz marble note"], lexicon)
     tgt = sentences(["zebra quartz marble remark", *numbered, *longer], lexicon)
     assert (30, 0) in {(i, j) for i, j, _ in B.align(src, tgt, lexicon)}
+
+
+def test_a_large_gap_is_aligned_as_a_whole():
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "17", "23", "99"]
+    lexicon = B.Lexicon([("alpha", "beta", 0.4), ("gamma", "omega", 0.6)], {"alpha": 0.1, "gamma": 0.01})
+    gain = lambda found: sum((like - B.NEED) * (i1 - i0 + j1 - j0) for i0, i1, j0, j1, like in found)
+    for _ in range(60):
+        src, tgt = (sentences([" ".join(rng.sample(words, rng.randrange(4))) or "-" for _ in range(rng.randrange(1, 12))], lexicon) for _ in range(2))
+        assert abs(gain(B.align_gap(src, tgt, lexicon)) - gain(B.align_wide(src, tgt, lexicon))) < 1e-9
+
+
+def test_a_large_gap_with_a_missing_part_keeps_its_pairs():
+    lexicon = B.Lexicon([], {})
+    alpha = "abcdefghij"
+    name = lambda n: "".join(alpha[int(c)] for c in f"{n:04d}")
+    src = sentences([f"only {name(9000 + n)}" for n in range(100)] + [f"{name(n)}x{name(n)} moss" for n in range(100)], lexicon)
+    tgt = sentences([f"{name(n)}x{name(n)} fern" for n in range(100)], lexicon)
+    assert {(100 + n, n) for n in range(100)} == {(i0, j0) for i0, _, j0, _, _ in B.align_gap(src, tgt, lexicon)}
+    one = B.align_gap(src[100:101], tgt[:1] + src[:100] + tgt[:1] * 99, lexicon)
+    assert len(one) == 1
