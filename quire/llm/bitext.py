@@ -12,7 +12,8 @@ in such pairs together far more often than alone are partners.
 
 Defined results: blank and null rows, rows without a document or place or on neither side give no link; equal
 sentences are told apart by order; repeats under one ``sent_id`` count once. A long document is cut into
-blocks of ``BLOCK_ROWS`` rows a side, each aligned with the blocks beside it, so no task holds a document.
+blocks of about ``BLOCK_ROWS`` rows a side between chained global anchors; rows that no block links are matched with
+all others of the document. A stretch without anchors is one block, and the rows left over meet in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from quire.llm.segment import told
 from quire.sources.tables import by_keys, spread
 
-BLOCK_ROWS = 400
+#: Rows a side that blocks of long documents aim at, and rows of their neighbours that they see.
+BLOCK_ROWS, MARGIN = 400, 10
 #: Glossaries travel as a closure up to this many terms.
 MOST_TERMS = 200_000
 #: Word pairs of the lexicon: least joint count, least Dice value, partners per word, and entries that may be sent.
@@ -458,6 +460,12 @@ def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links:
             free_j.discard(j)
 
 
+def match_rest(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, float]]:
+    links: dict[tuple[int, int], float] = {}
+    leftovers(src, tgt, lexicon, links)
+    return [(i, j, s) for (i, j), s in links.items()]
+
+
 def clean_rows(sentences: DataFrame) -> DataFrame:
     """Rows that can take part; repeats are merged where they are grouped anyway."""
     text = F.col("source_text")
@@ -539,7 +547,7 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((pairs, shares))
     made: list[tuple[Terms, Lexicon]] = []
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def matched(group: pd.DataFrame, how) -> pd.DataFrame:
         if not made:
             made.append((Terms(terms), Lexicon(*sent.value)))
         known, lexicon = made[0]
@@ -547,19 +555,85 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
         han = [bool(_RUN.search("".join(group.loc[group["side"] == side, "text"]))) for side in ("src", "tgt")]
         sides = {side: [Sentence(r, group.at[r, "text"], known, lexicon, all(han)) for r in group.index[group["side"] == side]] for side in ("src", "tgt")}
         out = []
-        for i, j, score in align(sides["src"], sides["tgt"], lexicon):
+        for i, j, score in how(sides["src"], sides["tgt"], lexicon):
             a, b = sides["src"][i].row, sides["tgt"][j].row
             if group.at[a, "core"]:
                 out.append((group.at[a, "doc_key"], int(group.at[a, "sent_id"]), int(group.at[b, "sent_id"]), int(group.at[a, "idx"]), int(group.at[b, "idx"]), float(round(score, 4))))
         return pd.DataFrame(out, columns=["doc_key", "src_id", "tgt_id", "src_idx", "tgt_idx", "score"])
 
-    # blocks: a document's rows by their share of its length, so both sides of a block stand beside each other
-    sizes = rows.groupBy("doc_key", "side").agg((F.max("idx") + 1).alias("n")).groupBy("doc_key").agg(F.max(F.when(F.col("side") == "src", F.col("n"))).alias("ns"), F.max(F.when(F.col("side") == "tgt", F.col("n"))).alias("nt"))
-    sizes = sizes.filter(F.col("ns").isNotNull() & F.col("nt").isNotNull() & (F.greatest("ns", "nt") > BLOCK_ROWS))
-    sizes = sizes.select(F.col("doc_key").alias("k"), "ns", "nt", F.ceil(F.greatest("ns", "nt") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = rows.join(sizes, F.col("doc_key") == F.col("k"), "left")
-    home = F.coalesce(F.least(F.col("blocks") - 1, F.floor(F.col("idx") / F.when(F.col("side") == "src", F.col("ns")).otherwise(F.col("nt")) * F.col("blocks")).cast("int")), F.lit(0))
-    placed = placed.withColumn("home", home)
-    around = F.when(F.col("blocks").isNull(), F.array(F.col("home"))).otherwise(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1))
-    placed = placed.select("doc_key", "side", "idx", "sent_id", "text", "home", F.explode(around).alias("block")).withColumn("core", F.col("home") == F.col("block"))
-    return by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, LINKS)
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        return matched(group, align)
+
+    sizes = rows.groupBy("doc_key", "side").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b"))
+    side = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    sizes = sizes.groupBy("doc_key").agg(side("src", "a").alias("s_from"), side("src", "b").alias("s_to"), side("tgt", "a").alias("t_from"), side("tgt", "b").alias("t_to"))
+    from quire.session import cut_lineage
+
+    long = cut_lineage(sizes.filter(F.greatest(F.col("s_to") - F.col("s_from"), F.col("t_to") - F.col("t_from")) > BLOCK_ROWS).dropna())
+    whole = rows.join(F.broadcast(long.select("doc_key")), "doc_key", "left_anti") if (any_long := not long.isEmpty()) else rows
+    whole = whole.withColumn("block", F.lit(0)).withColumn("core", F.lit(True))
+    if not any_long:
+        return by_keys(whole, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, LINKS)
+    parts = cut_lineage(rows.join(F.broadcast(long.select("doc_key")), "doc_key"))
+    placed = whole.unionByName(in_blocks(parts, blocks(parts, long, terms)))
+    links = cut_lineage(by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, LINKS))
+    # what no block linked meets all other such rows of its document
+    linked = links.select("doc_key", F.explode(F.array("src_id", "tgt_id")).alias("sent_id")).distinct()
+    free = parts.join(linked, ["doc_key", "sent_id"], "left_anti").withColumn("core", F.lit(True))
+
+    def rest(key, group: pd.DataFrame) -> pd.DataFrame:
+        return matched(group, match_rest)
+
+    return links.unionByName(by_keys(free, "doc_key").groupBy("doc_key").applyInPandas(rest, LINKS))
+
+
+def blocks(rows: DataFrame, long: DataFrame, terms: list[tuple]) -> DataFrame:
+    """Matching stretches of both sides of long documents, cut at chained global anchors.
+
+    Anchors are the keys that either side of the document has once; only their places meet in one task. Where a
+    stretch has none, it stays whole, whatever its length.
+    """
+    made: list[Terms] = []
+
+    @F.pandas_udf("array<string>")
+    def keys(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(Terms(terms))
+        out = []
+        for t in texts:
+            hard, found, _ = features(t, made[0])
+            out.append(sorted(set(hard)) + (["s" + ",".join(sorted(set(found)))] if found else []))
+        return pd.Series(out)
+
+    of = lambda f, name, c: f(F.when(F.col("side") == name, F.col(c)))
+    tied = rows.select("doc_key", "side", "sent_id", "idx", F.explode(keys.asNondeterministic()("text")).alias("key")).groupBy("doc_key", "key")
+    tied = tied.agg(*(of(f, name, "sent_id").alias(n) for n, f, name in (("s0", F.min, "src"), ("s1", F.max, "src"), ("t0", F.min, "tgt"), ("t1", F.max, "tgt"))), of(F.min, "src", "idx").alias("i"), of(F.min, "tgt", "idx").alias("j"))
+    points = tied.filter((F.col("s0") == F.col("s1")) & (F.col("t0") == F.col("t1"))).select("doc_key", "i", "j").distinct()
+
+    def cut(g: pd.DataFrame) -> pd.DataFrame:
+        _, _, _, *ends = g.iloc[0][["doc_key", "i", "j", "s_from", "s_to", "t_from", "t_to"]]
+        s_from, s_to, t_from, t_to = (int(x) for x in ends)
+        known = g.dropna(subset=["i", "j"])
+        fixed = [(i, j) for i, j, _ in chain([(int(i), int(j), 1.0) for i, j in zip(known["i"], known["j"], strict=True)])]
+        cuts, last = [(s_from, t_from)], None
+        for i, j in [*fixed, (s_to, t_to)]:
+            if max(i - cuts[-1][0], j - cuts[-1][1]) > BLOCK_ROWS and last:
+                cuts.append(last)
+            last = (i, j) if (i, j) > cuts[-1] else None
+        cuts.append((s_to, t_to))
+        out = []
+        for no, ((i0, j0), (i1, j1)) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out += [(g["doc_key"].iloc[0], side, no, lo, hi) for side, lo, hi in (("src", i0, i1), ("tgt", j0, j1))]
+        return pd.DataFrame(out, columns=["doc_key", "side", "block", "lo", "hi"])
+
+    return long.join(points, "doc_key", "left").groupBy("doc_key").applyInPandas(cut, "doc_key string, side string, block int, lo int, hi int")
+
+
+def in_blocks(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with their block and, not as its core, a margin of its neighbours; joined by bins of places."""
+    bins = F.sequence(F.floor((F.col("lo") - MARGIN) / BLOCK_ROWS), F.floor((F.col("hi") + MARGIN) / BLOCK_ROWS))
+    binned = cuts.withColumn("bin", F.explode(bins))
+    found = rows.withColumn("bin", F.floor(F.col("idx") / BLOCK_ROWS)).join(binned, ["doc_key", "side", "bin"])
+    found = found.filter((F.col("idx") >= F.col("lo") - MARGIN) & (F.col("idx") < F.col("hi") + MARGIN))
+    core = (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))
+    return found.select(*rows.columns, "block", core.alias("core"))

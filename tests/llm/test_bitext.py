@@ -118,3 +118,19 @@ def test_a_large_gap_with_a_missing_part_keeps_its_pairs():
     assert {(100 + n, n) for n in range(100)} == {(i0, j0) for i0, _, j0, _, _ in B.align_gap(src, tgt, lexicon)}
     one = B.align_gap(src[100:101], tgt[:1] + src[:100] + tgt[:1] * 99, lexicon)
     assert len(one) == 1
+
+
+def test_blocks_follow_omissions_and_moves(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 40)
+    src = [(i, "long", "src", "en", i, f"Section {i + 1000} describes the site plan.") for i in range(400)]
+    kept = [5, *range(100, 390), *range(390, 400)]  # the target lacks 100 rows, and one has moved far
+    kept = [*kept[1:], 5]
+    tgt = [(1000 + i, "long", "tgt", "zh", j, f"第{i + 1000}节说明总平面图。") for j, i in enumerate(kept)]
+    assert {(r["src_id"], r["tgt_id"]) for r in run(spark, src + tgt)} == {(i, 1000 + i) for i in kept}
+
+
+def test_a_long_document_without_anchors_stays_whole(spark, monkeypatch):
+    rows = [(i, "long", "src", "en", i, "The site plan.") for i in range(30)] + [(100 + i, "long", "tgt", "zh", i, "总平面图。") for i in range(30)]
+    whole = sorted(map(tuple, run(spark, rows)))
+    monkeypatch.setattr(B, "BLOCK_ROWS", 10)
+    assert sorted(map(tuple, run(spark, rows))) == whole
