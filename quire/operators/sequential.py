@@ -1,7 +1,7 @@
 """Operators whose state depends on what they emitted before: folds over bounded groups.
 
-Groups are keyed by their document or recording and a block of positions or time, so that a hot document is
-many groups; what a fold holds never crosses a block. That is part of each operator's defined result.
+Documents are folded whole, one in a task, as what a fold holds goes on to the end of the document. Recordings are
+keyed by a block of time, too, which subtitles never cross; that is part of their defined result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ GROUP_ITEMS, GROUP_CHARS = 15, 3000
 def pack_sentences(rows: DataFrame, items: int = GROUP_ITEMS, chars: int = GROUP_CHARS) -> DataFrame:
     """Greedy groups of consecutive sentences, closed before they pass a number of items or characters.
 
-    ``rows``: ``doc_key, side, idx, n`` (characters). A sentence larger than the limit is a group alone.
+    ``rows``: ``doc_key, side, idx, n`` (characters). A sentence larger than the limit is a group alone. Groups are
+    numbered over a side of the document, and run on over ``block``, which only tells where a row stands.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +42,7 @@ def pack_sentences(rows: DataFrame, items: int = GROUP_ITEMS, chars: int = GROUP
         return g[["doc_key", "side", "block", "idx", "group_no"]]
 
     placed = rows.withColumn("block", F.floor(F.col("idx") / BLOCK_ROWS).cast("int"))
-    return by_keys(placed, "doc_key", "side", "block").groupBy("doc_key", "side", "block").applyInPandas(run, "doc_key string, side string, block int, idx int, group_no int")
+    return by_keys(placed, "doc_key", "side").groupBy("doc_key", "side").applyInPandas(run, "doc_key string, side string, block int, idx int, group_no int")
 
 
 def chunk_spans(text: str, budget: int) -> list[str]:
@@ -97,8 +98,8 @@ def weak_windows(links: DataFrame, budget: int = 12, most_score: float = 0.55) -
         return pd.DataFrame(out, columns=["doc_key", "src_start", "src_end", "tgt_start", "tgt_end", "links", "units"])
 
     weak = F.coalesce("low_confidence", F.lit(False)) | F.coalesce(F.col("score") < most_score, F.lit(True))
-    placed = links.withColumn("weak", weak).withColumn("block", F.floor(F.col("src_start") / BLOCK_ROWS).cast("int"))
-    return by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, links int, units int")
+    placed = links.select("doc_key", "link_id", "src_start", "src_end", "tgt_start", "tgt_end", weak.alias("weak"))
+    return by_keys(placed, "doc_key").groupBy("doc_key").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, links int, units int")
 
 
 # Limits of a subtitle.
@@ -279,7 +280,10 @@ def vector_alignment(a: np.ndarray, b: np.ndarray, threshold: float = 0.55) -> l
 
 
 def align_vectors(rows: DataFrame) -> DataFrame:
-    """Alignment of documents by the offline vectors. ``rows``: ``doc_key, side, idx, text``, each once."""
+    """Alignment of whole documents by the offline vectors. ``rows``: ``doc_key, side, idx, text``, each once.
+
+    Positions are those within a side of the document.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
@@ -290,8 +294,7 @@ def align_vectors(rows: DataFrame) -> DataFrame:
         out = [(g["doc_key"].iloc[0], i0, i1, j0, j1, float(round(s, 4)), bool(low)) for i0, i1, j0, j1, s, low in vector_alignment(v["src"], v["tgt"])]
         return pd.DataFrame(out, columns=["doc_key", "src_start", "src_end", "tgt_start", "tgt_end", "score", "low_confidence"])
 
-    placed = rows.withColumn("block", F.floor(F.col("idx") / 500).cast("int"))
-    return by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean")
+    return by_keys(rows, "doc_key").groupBy("doc_key").applyInPandas(run, "doc_key string, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean")
 
 
 # --- variants ------------------------------------------------------------------------------------------

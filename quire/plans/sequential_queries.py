@@ -68,14 +68,14 @@ def vector_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("coverage_check")
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    """Rows at one position against the texts of their blocks of a document."""
-    rows = once(table(spark, d, "docx_sentences"), "sent_id").filter(F.length("source_text") > 0).withColumn("key", F.concat_ws("/", "doc_key", F.floor(F.col("idx") / 200).cast("string")))
+    """Rows at one position against the whole texts of their document; the key also tells the 200 rows they stand in."""
+    rows = once(table(spark, d, "docx_sentences"), "sent_id").filter(F.length("source_text") > 0).withColumn("key", F.col("doc_key"))
     joined = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("idx", "source_text")))), lambda x: x["source_text"]), "\n")
     texts = rows.groupBy(F.col("key").alias("doc_key")).agg(joined("src").alias("src_text"), joined("tgt").alias("tgt_text"))
     src = rows.filter("side = 'src'").select("key", "idx", F.col("source_text").alias("src"))
     tgt = rows.filter("side = 'tgt'").select("key", "idx", F.col("source_text").alias("tgt"))
     pairs = src.join(tgt, ["key", "idx"]).select(F.col("key").alias("doc_key"), F.col("idx").alias("row_no"), "src", "tgt")
-    return S.coverage(pairs, texts)
+    return S.coverage(pairs, texts).withColumn("doc_key", F.concat_ws("/", "doc_key", F.floor(F.col("row_no") / 200).cast("string")))
 
 
 @CORE.add("box_nms")

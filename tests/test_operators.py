@@ -146,3 +146,16 @@ def test_sinks(spark, tmp_path):
     assert {r["lang"] for r in spark.read.parquet(str(tmp_path / "by")).collect()} == {"zh", "none"}
     sinks.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_folds_of_a_long_document_are_not_cut(spark):
+    texts = [(side, i, f"{i * 7919 % 10007} {i * 104729 % 99991} row {i * 31 % 997}") for side, n in (("src", range(520)), ("tgt", [*range(490), *range(500, 520)])) for i in n]
+    numbered = {}
+    rows = [("d", side, numbered.setdefault(side, []).append(i) or len(numbered[side]) - 1, text) for side, i, text in texts]
+    got = {(r["src_start"], r["tgt_start"]) for r in S.align_vectors(spark.createDataFrame(rows, "doc_key string, side string, idx int, text string")).collect() if r["src_end"] - r["src_start"] == r["tgt_end"] - r["tgt_start"] == 1}
+    assert {(i, i - 10) for i in range(500, 520)} <= got  # tgt 490-499 stood in another block than src 500-509
+    packed = S.pack_sentences(spark.createDataFrame([("d", "src", i, 10) for i in range(1990, 2010)], "doc_key string, side string, idx int, n int")).collect()
+    assert {r["idx"]: r["group_no"] for r in packed} == {i: (i - 1990) // 15 for i in range(1990, 2010)}
+    links = [("d", i, i, i + 1, i, i + 1, 0.1, True) for i in range(1998, 2002)]
+    weak = S.weak_windows(spark.createDataFrame(links, "doc_key string, link_id int, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean")).collect()
+    assert [(r["src_start"], r["src_end"], r["links"]) for r in weak] == [(1998, 2002, 4)]
