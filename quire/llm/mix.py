@@ -4,7 +4,7 @@ Method: capped water-filling. A source whose share asks for more than its texts
 times is clamped there, and its excess goes to the others in proportion to their weights, until all fit.
 Every text of a source is then taken the whole number of times, and a seeded part of its texts once more.
 
-A text that stands under several ids counts as one text: its first id stands for it. The part is found by a
+A text that stands under several ids counts as one text: its first id of a planned source stands for it. The part is found by a
 seeded hash: its threshold comes from the tokens per source and hash bin, a table of bounded size, so no
 source is ever ordered or collected.
 
@@ -80,9 +80,6 @@ def mix(items: DataFrame, plans: DataFrame, seed: int = 7) -> tuple[DataFrame, D
     spark = items.sparkSession
     named = cut_lineage(items.select("doc_id", source_name(F.col("source")).alias("source"), "text_key", "tokens"))
     corpus = named.agg(F.sum("tokens")).first()[0] or 0
-    texts = named.filter(F.col("tokens") > 0).groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("f")).select("f.*").filter(F.col("source").isNotNull())
-    texts = cut_lineage(texts.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BINS)).cast("int")))
-
     wanted: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     caps: dict[str, dict[str, int]] = defaultdict(dict)
     budgets: dict[str, float] = {}
@@ -94,8 +91,12 @@ def mix(items: DataFrame, plans: DataFrame, seed: int = 7) -> tuple[DataFrame, D
         caps[r[0]][r[1]] = max(int(r[3]), caps[r[0]].get(r[1], 0))
         budgets[r[0]] = float(r[4]) * corpus
     names = sorted({s for p in wanted.values() for s in p})
+    planned = spark.createDataFrame([(n,) for n in names], "source string")
+    texts = named.filter(F.col("tokens") > 0).join(F.broadcast(planned), "source", "left_semi")
+    texts = texts.groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("f")).select("f.*")
+    texts = cut_lineage(texts.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BINS)).cast("int")))
     bins: dict[str, list[int]] = {s: [0] * BINS for s in names}
-    for r in texts.filter(F.col("source").isin(names)).groupBy("source", "bin").agg(F.sum("tokens").alias("n")).toLocalIterator():
+    for r in texts.groupBy("source", "bin").agg(F.sum("tokens").alias("n")).toLocalIterator():
         bins[r["source"]][r["bin"]] = r["n"]
     have = {s: sum(b) for s, b in bins.items()}
 

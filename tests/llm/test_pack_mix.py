@@ -99,3 +99,10 @@ def test_mix(spark):
     assert sorted(tuple(r) for r in X.mix(items, plans)[0].collect()) == sorted(tuple(r) for r in out)
     assert sum(r["actual_share"] for r in X.shares(drawn, report).collect()) == pytest.approx(1, abs=1e-4)
     assert X.mix(items.limit(0), plans)[0].count() == 0
+
+
+def test_a_text_is_drawn_when_any_copy_has_a_planned_source(spark):
+    rows = [(1, None, "a", 10), (2, "big", "a", 10), (3, "unplanned", "b", 10), (4, "big", "b", 10), (5, "big", "c", 10)]
+    items = spark.createDataFrame(rows, "doc_id bigint, source string, text_key string, tokens int")
+    plans = spark.createDataFrame([("p", "big", 1.0, 1, 1.0)], "plan_name string, source string, target_share double, max_repeats int, budget_share double")
+    assert sorted(r["doc_id"] for r in X.mix(items, plans)[0].collect()) == [2, 4, 5]
