@@ -7,7 +7,8 @@ holds: quoted and bracketed stretches, inside which nothing breaks.
 
 Defined results: null and blank texts give no span; a text without any end mark is one span; repeated rows
 give the same spans; a null or unknown language is told from the script and, for Latin, frequent words. Very
-long texts cost time in proportion to their length, as rules see a bounded window around a position.
+long texts cost time in proportion to their length, as rules see a bounded window around a position, and the number
+that opens the sentence before it.
 """
 
 from __future__ import annotations
@@ -163,6 +164,9 @@ _COMPILED = {
     for name, rules in TABLES.items()
 }
 
+#: What opens a list entry; rules that ask for it at the start of a sentence see it at any length.
+_ENTRY = re.compile(r"\s*\d{1,3}[.)、．](?!\d)")
+
 _DE_WORDS = re.compile(r"\b(?:der|die|das|und|ist|von|wird|wurde|nicht|mit|ein|eine|für|auf|Sie|im|am|den|dem|des|zu|bis|sind|noch)\b")
 _EN_WORDS = re.compile(r"\b(?:the|of|and|is|was|to|in|for|with|by|on|at|not|The|which|must|from|has|have|are|be)\b")
 
@@ -221,7 +225,12 @@ def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
         if h < len(holds) and holds[h][0] < pos < holds[h][1]:
             continue
         opening = h < len(holds) and holds[h][1] == pos and not text[start : holds[h][0]].strip()
-        before, after = text[start:pos] if pos - start <= WINDOW else "\0" + text[pos - WINDOW : pos], text[pos : pos + WINDOW]
+        if pos - start <= WINDOW:
+            before = text[start:pos]
+        else:  # the number that opens the sentence stays in sight
+            entry = _ENTRY.match(text, start)
+            before = (entry.group() if entry else "") + "\0" + text[pos - WINDOW : pos]
+        after = text[pos : pos + WINDOW]
         line = before[-1:] in "\r\n"
         for breaks, b, a, only_opening in common if line else cascade:
             if (opening or not only_opening) and b.search(before) and a.match(after):

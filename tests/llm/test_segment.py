@@ -71,3 +71,12 @@ def test_table(spark):
     assert got == [(0, 0, 2), (1, 0, 4), (1, 5, 9)]
     assert sorted(r["unit_text"] for r in S.units(df, "block_id", "source_text", "lang").collect()) == ["One.", "Two.", "好。"]
     assert S.segment(df.limit(0), "block_id", "source_text", "lang").count() == 0
+
+
+def test_long_list_entries_without_end_marks_are_told_apart():
+    for n in (50, 80, 500):
+        entry = ("word " * n)[:n].strip()
+        text = f"1. {entry}\n2. {entry}\n3. {entry}"
+        assert [text[a:b] for a, b in S.spans(text, "en")] == text.split("\n")
+    plain = "word " * 40
+    assert len(S.spans(f"{plain}\n2. {plain}", "en")) == 1
