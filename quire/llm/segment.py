@@ -6,9 +6,9 @@ then the common one are tried in order, and the first rule that fits decides. Ah
 holds: quoted and bracketed stretches, inside which nothing breaks.
 
 Defined results: null and blank texts give no span; a text without any end mark is one span; repeated rows
-give the same spans; a null or unknown language is told from the script and, for Latin, frequent words. Very
-long texts cost time in proportion to their length, as rules see a bounded window around a position, and the number
-that opens the sentence before it.
+give the same spans; a null or unknown language is told from the script and, for Latin, frequent words. Rules see
+the text after a position to its end and, before it, the number that opens the sentence and all that the longest pattern
+can reach: at least ``REACH`` characters and the whole run of blanks, marks or letters that stands there.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters a rule may look at on either side of a position.
-WINDOW = 64
+#: The longest pattern before a position without its repeated parts; runs of one kind are seen whole, whatever their length.
+REACH = 64
 
 ENDS = ".!?。！？．｡…؟।॥۔"
 CLOSERS = "\"'”’»）)】〕］\\]』」》〉｣"
+_EDGES = frozenset(ENDS + CLOSERS + "“")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 
 #: Quotes and brackets whose inside is never broken; a blank line ends what was never closed.
@@ -85,7 +86,7 @@ TABLES: dict[str, tuple[Rule, ...]] = {
     "common": (
         Rule(True, r"\n\s*\n\s*", r""),
         # a list entry or a heading with a number begins a line
-        Rule(True, rf"(?:[{ENDS}:：;；][{CLOSERS}“]*\s*|^\s*\d{{1,3}}[.)、．](?!\d)(?:.|\s)*)[\r\n]", r"[ \t]*(?:\d{1,3}(?:[.、．](?!\d)|[)）])|[-*•·–]|[(（]\d{1,3}[)）]|[a-z]\)|[①-⑳])[ \t]*\S"),
+        Rule(True, rf"(?:[{ENDS}:：;；][{CLOSERS}“]*\s*|^\s*\d{{1,3}}[.)、．](?!\d)[\s\S]*)[\r\n]", r"[ \t]*(?:\d{1,3}(?:[.、．](?!\d)|[)）])|[-*•·–]|[(（]\d{1,3}[)）]|[a-z]\)|[①-⑳])[ \t]*\S"),
         Rule(False, r"[\r\n]", r""),
         Rule(False, r"\w", r"[ \u3000\u00a0]*\d"),
     ),
@@ -171,17 +172,17 @@ _DE_WORDS = re.compile(r"\b(?:der|die|das|und|ist|von|wird|wurde|nicht|mit|ein|e
 _EN_WORDS = re.compile(r"\b(?:the|of|and|is|was|to|in|for|with|by|on|at|not|The|which|must|from|has|have|are|be)\b")
 
 
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_SCRIPTS = {n: re.compile(p) for n, p in (("kana", "[぀-ヿ]"), ("han", "[㐀-鿿]"), ("th", "[\u0e00-\u0e7f]"), ("hi", "[\u0900-\u097f]"), ("ar", "[\u0600-\u06ff]"))}
+
+
 def told(text: str, lang: str | None) -> str:
     """The rule table of a text: its language, corrected by the script where they can't go together."""
-    kana = len(re.findall("[぀-ヿ]", text))
-    counts = {
-        "th": len(re.findall("[\u0e00-\u0e7f]", text)),
-        "hi": len(re.findall("[\u0900-\u097f]", text)),
-        "ar": len(re.findall("[\u0600-\u06ff]", text)),
-        "ja" if kana else "zh": kana * 2 + len(re.findall("[㐀-鿿]", text)) * 2,
-        "latin": len(re.findall("[A-Za-zÀ-ɏ]", text)),
-    }
-    script = max(counts, key=counts.get)
+    count = {name: len(p.findall(text)) for name, p in _SCRIPTS.items() if p.search(text)} if not text.isascii() else {}
+    kana = count.get("kana", 0)
+    counts = {n: count.get(n, 0) for n in ("th", "hi", "ar")} | {"ja" if kana else "zh": 2 * (kana + count.get("han", 0))}
+    top = max(counts, key=counts.get)
+    script = "latin" if _LATIN.search(text) and (not counts[top] or len(_LATIN.findall(text)) > counts[top]) else top
     if script == "latin":
         if lang in ("en", "de"):
             return lang
@@ -208,6 +209,21 @@ def spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     return _spans(text, lang)
 
 
+def _kind(c: str) -> int:
+    """What repeated parts of the patterns are made of: blanks and marks, or parts of Latin words and addresses."""
+    if c.isspace() or c in _EDGES:
+        return 1
+    return 2 if c in "_-" or (c < "ɐ" and c.isalnum()) else 0
+
+
+def _reach(text: str, start: int, pos: int) -> int:
+    """Where the text that rules see before ``pos`` begins: never inside a run that a pattern may repeat."""
+    at = pos - REACH
+    while at > start and (kind := _kind(text[at])) and (kind == _kind(text[at - 1]) or "." in text[at - 1 : at + 1]):
+        at -= 1
+    return max(at, start)
+
+
 def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
     if not text.strip():
         return []
@@ -225,15 +241,14 @@ def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
         if h < len(holds) and holds[h][0] < pos < holds[h][1]:
             continue
         opening = h < len(holds) and holds[h][1] == pos and not text[start : holds[h][0]].strip()
-        if pos - start <= WINDOW:
+        if pos - start <= REACH:
             before = text[start:pos]
         else:  # the number that opens the sentence stays in sight
             entry = _ENTRY.match(text, start)
-            before = (entry.group() if entry else "") + "\0" + text[pos - WINDOW : pos]
-        after = text[pos : pos + WINDOW]
+            before = (entry.group() if entry else "") + "\0" + text[_reach(text, start, pos) : pos]
         line = before[-1:] in "\r\n"
         for breaks, b, a, only_opening in common if line else cascade:
-            if (opening or not only_opening) and b.search(before) and a.match(after):
+            if (opening or not only_opening) and a.match(text, pos) and b.search(before):
                 if breaks:
                     cuts.append(pos)
                     start = pos

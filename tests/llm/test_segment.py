@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +82,17 @@ def test_long_list_entries_without_end_marks_are_told_apart():
         assert [text[a:b] for a, b in S.spans(text, "en")] == text.split("\n")
     plain = "word " * 40
     assert len(S.spans(f"{plain}\n2. {plain}", "en")) == 1
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "zh", "ja", "th", "hi", "ar", None])
+def test_long_numbered_line_takes_no_time(lang):
+    began = time.perf_counter()
+    text = "1. " + "a " * 5000 + "\u3002 Next\n2. " + "b " * 5000
+    assert "".join(text[a:b] for a, b in S.spans(text, lang)).replace(" ", "") == "".join(text.split())
+    assert time.perf_counter() - began < 2
+
+
+def test_runs_longer_than_the_reach_are_seen_whole():
+    assert S.spans("a" * 80 + "." + ")" * 100 + " then it goes on.", "en") == [(0, 80 + 1 + 100 + 17)]
+    assert len(S.spans("One line" + " " * 200 + "\n" + " " * 200 + "\nanother line", "en")) == 2
+    assert len(S.spans("See " + "part-of-a-name" * 10 + "." + "example.com/x for more.", "en")) == 1
