@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
 
-#: Hash bins per source.
+#: Hash bins per source: the precision of a part, 1/16384 of a source or one text, whichever is more. No text is left out
+#: by it; tokens per bin are summed exactly.
 BINS = 1 << 14
-#: Bins listed beside a threshold.
-MOST_MORE = 200
 #: Rows of plans; they are a bounded list.
 MOST_PLAN_ROWS = 100_000
 
@@ -64,7 +63,7 @@ def threshold(tokens: list[int], part: float) -> tuple[int, list[int]]:
         at += 1
     more = []
     for k in range(at + 1, len(tokens)):
-        if part - below < 1e-4 * part or len(more) >= MOST_MORE:
+        if part - below < 1e-4 * part:
             break
         if tokens[k] and below + tokens[k] <= part:
             below += tokens[k]
