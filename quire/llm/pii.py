@@ -4,10 +4,12 @@ Detection is by formats, the words around them and, for names, by inventories: t
 for Latin script, and family and given names in Han and kana script that are learned from the whole table
 by the places where only a name can stand. Every find becomes a typed placeholder.
 
-Method of the placeholders: format-preserving Feistel pseudonyms. Digits of a validated number are permuted
-under a key within their format (a date inside an identity number stays a date, its check digit stays
-right), so equal values get equal pseudonyms in all documents and can't be read back without the key;
-names, streets and mailboxes get a keyed tag.
+Method of the placeholders: format-preserving Feistel pseudonyms, made in the same pass that finds. Every place of a
+number has an alphabet (digits, capital letters, a few digits at the head of a phone number); the value is permuted under a
+key among all values of its format. Country codes, trunk zeros and punctuation stay. A date inside an identity number
+becomes a date; numbers whose check digit is right get one that is right, others one that is wrong by as much. So
+equal values have equal pseudonyms in all documents, different ones never, and only the key reads them back
+(:func:`reveal`); names, streets and mailboxes get a keyed tag.
 
 Defined results: null and empty texts give no find and come out as they are; of overlapping finds the
 e-mail wins, then address, identity number, phone, person; repeated documents give the same finds.
@@ -17,20 +19,25 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import hmac
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROSTER = 100_000
-#: Learned inventories: how often a part must be seen, and how many parts are kept.
-LEAST_SEEN, MOST_PARTS = 3, 20_000
+#: Learned parts of names travel to the workers up to this many (some 50 MB); more are refused, not cut.
+MOST_PARTS = 2_000_000
+#: A part that ends in a part seen this many times as often is that part with something before it.
+GLUED = 5
+#: No word that tells what a number is, with what may stand after it, is longer (tested); text before it can't change a find.
+CUE_REACH = 48
 
 # --- widths -------------------------------------------------------------------------------------------
 
@@ -159,7 +166,6 @@ _ZH_CUES = tuple(
         rf"兹证明({_H}{{2,3}}?)(?=[（(，]|系|是)",
         rf"请联系({_H}{{2,3}}?)(?=[，,。；]|先生|女士)",
         rf"本人({_H}{{2,3}}?)(?=[，,])",
-        rf"找({_H}{{2,3}}?)(?=就行|即可|就可以)",
         rf"(?:^|[。！？；，：:\n\s])({_H}{{2,3}}?)(?=先生|女士|小姐)",
     )
 )
@@ -173,14 +179,13 @@ _JA_CUES = tuple(
         rf"({_H}{{1,4}}[ 　]{{1,2}}{_H}{{1,3}})(?=様|さん|氏|先生)",
     )
 )
-_JA_FAMILY = re.compile(rf"(?:^|[。！？、\n\s「])({_H}{{1,4}})(?=さん|様)")
 _JA_WHOLE = tuple(
     re.compile(p)
     for p in (
         rf"(?:氏名|名前|担当者|宛名|申請者)[ \t]?[:：\t]\s?({_H}{{2,7}})(?![㐀-鿿])",
         rf"担当の({_H}{{2,7}}?)(?=が|は|です|と)",
         rf"(?:^|[。！？、：:\n\s「])({_H}{{2,7}})(?=様の|さんから|さんが|様が|様へ)",
-        rf"(?:^|[。！？\n])({_H}{{2,7}})(?=は写しをもう一部|によると、走査|さんは)",
+        rf"(?:^|[。！？\n])({_H}{{2,7}})(?=さんは)",
     )
 )
 _KANA = re.compile("[぀-ヿ]")
@@ -210,11 +215,49 @@ class Inventory:
             self.single = re.compile(rf"{_LEFT}(?:{n}|{n.upper()}){_RIGHT}")
             self.sender = re.compile(rf"(?im)^[ \t]*({one})[ ]?(?=[:：])")
         self.zh = re.compile(rf"[{''.join(sorted(self.zh_family))}][{''.join(sorted(self.zh_given))}]{{1,2}}") if self.zh_family and self.zh_given else None
-        self.ja = None
-        if self.ja_family:
-            fam = "|".join(sorted(self.ja_family, key=len, reverse=True))
-            giv = "|".join(sorted(self.ja_given, key=len, reverse=True)) or "(?!)"
-            self.ja = re.compile(rf"(?:{fam})(?:[ 　]{{0,2}}(?:{giv})|(?=さん|様|氏))|(?<![㐀-鿿])(?:{giv})(?=さん|様|氏)")
+        self.heads = {k: _by_head(v) for k, v in (("family", self.ja_family), ("given", self.ja_given))}
+        self.ja_first = re.compile("[" + "".join(sorted({w[0] for w in self.ja_family | self.ja_given})) + "]") if self.ja_family else None
+
+    def ja(self, text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+        """A family name with a given name or a form of address behind it, or a given name with one."""
+        if self.ja_first is None:
+            return
+        end, busy = len(text) if end is None else min(end, len(text)), start
+        for m in self.ja_first.finditer(text, start, end):
+            if m.start() >= busy and (stop := self._ja_at(text, m.start(), end)):
+                yield m.start(), stop
+                busy = stop
+
+    def _ja_at(self, text: str, at: int, end: int) -> int:
+        given = self.heads["given"]
+        for name in self.heads["family"].get(text[at], ()):
+            if text.startswith(name, at, end):
+                stop = gap = at + len(name)
+                while gap < min(stop + 2, end) and text[gap] in " \u3000":
+                    gap += 1
+                for begin in range(gap, stop - 1, -1):
+                    for more in given.get(text[begin : begin + 1], ()):
+                        if text.startswith(more, begin, end):
+                            return begin + len(more)
+                if text.startswith(_CALLED, stop, end):
+                    return stop
+        if not (at and "㐀" <= text[at - 1] <= "鿿"):
+            for name in given.get(text[at], ()):
+                if text.startswith(name, at, end) and text.startswith(_CALLED, at + len(name), end):
+                    return at + len(name)
+        return 0
+
+
+#: Forms of address behind a Japanese name.
+_CALLED = ("さん", "様", "氏")
+
+
+def _by_head(names: frozenset[str]) -> dict[str, list[str]]:
+    """Names by their first character, the longest first."""
+    out: dict[str, list[str]] = defaultdict(list)
+    for n in sorted(names, key=lambda n: (-len(n), n)):
+        out[n[0]].append(n)
+    return dict(out)
 
 
 def _names_zh(text: str) -> Iterator[tuple[int, int]]:
@@ -232,8 +275,6 @@ def learn_parts(text: str) -> Iterator[tuple[str, str]]:
                 if len(parts) == 2 and not _NOT_SENDER.match(m.group(1)):
                     yield "ja_family", parts[0]
                     yield "ja_given", parts[1]
-        for m in _JA_FAMILY.finditer(text):
-            yield "ja_called", m.group(1)
         return
     for a, b in _names_zh(text):
         name = text[a:b]
@@ -255,14 +296,17 @@ def learn_inventory(documents: DataFrame, text: str, roster: DataFrame) -> Inven
             yield pd.DataFrame([(k, p, n) for (k, p), n in counts.items()], columns=["kind", "part", "n"])
 
     seen = documents.select(F.col(text).alias("t")).filter(F.col("t").rlike("[㐀-鿿]")).mapInPandas(run, "kind string, part string, n bigint")
-    kept = seen.groupBy("kind", "part").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "kind", "part").limit(MOST_PARTS).collect()
+    kept = seen.groupBy("kind", "part").agg(F.sum("n").alias("n")).limit(MOST_PARTS + 1).collect()
+    if len(kept) > MOST_PARTS:
+        raise ValueError(f"the texts hold more than {MOST_PARTS} parts of names")
     parts: dict[str, dict[str, int]] = {}
     for r in kept:
         parts.setdefault(r["kind"], {})[r["part"]] = r["n"]
+    family = parts.get("ja_family", {})
+    parts["ja_family"] = {p: n for p, n in family.items() if not any(family.get(p[i:], 0) >= GLUED * n for i in range(1, len(p)))}
     people = roster.select("given_name", "family_name").limit(MOST_ROSTER + 1).collect()
     if len(people) > MOST_ROSTER:
         raise ValueError(f"the roster has more than {MOST_ROSTER} rows")
-    # called by さん alone, a word counts as a family name only if it is seen as one elsewhere, too
     return Inventory(
         [(r[0] or "", r[1] or "") for r in people],
         frozenset(parts.get("zh_family", {})),
@@ -312,7 +356,7 @@ def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int
             if any(a <= at < b for a, b in taken):
                 at += 1
                 continue
-            before = text[max(0, at - 40) : at]
+            before = text[max(0, at - CUE_REACH) : at]
             found = None
             if _NOT_CUE.search(before):
                 skip = re.compile(r"[\dA-Za-z][\dA-Za-z-]*", re.A).match(text, at)
@@ -372,14 +416,11 @@ def _persons(text: str, inventory: Inventory) -> Iterator[tuple[int, int]]:
     if not re.search("[㐀-鿿]", text):
         return
     if _JA_HINT.search(text):
-        if inventory.ja is not None:
-            for m in inventory.ja.finditer(text):
-                yield m.span()
+        yield from inventory.ja(text)
         for cue in (*_JA_CUES, *_JA_WHOLE):
             for m in cue.finditer(text):
                 a, b = m.span(1)
-                known = None if inventory.ja is None else next((x for x in inventory.ja.finditer(text, a, b + 2) if x.end() == b), None)
-                yield (a, b) if known is None else known.span()
+                yield next((x for x in inventory.ja(text, a, b + 2) if x[1] == b), (a, b))
     for a, b in _names_zh(text):
         yield a, b
     if inventory.zh is not None:
@@ -416,8 +457,6 @@ def _lean(spans: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> lis
 
 
 def _around(busy: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left
-
     i = bisect_left(busy, (a, a))
     return busy[max(0, i - 1) : i + 1] + [s for s in busy[i + 1 : i + 8] if s[0] < b]
 
@@ -426,17 +465,22 @@ def _around(busy: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]
 
 
 def _round(key: bytes, n: int, side: int, value: int, modulus: int, tweak: bytes) -> int:
-    digest = hmac.new(key, b"%d|%d|%d|" % (n, side, value) + tweak, hashlib.sha256).digest()
-    return int.from_bytes(digest[:16], "big") % modulus
+    digest = hashlib.blake2b(b"%d|%d|%d|" % (n, side, value) + tweak, key=key[:64], digest_size=16).digest()
+    return int.from_bytes(digest, "big") % modulus
+
+
+def _half(size: int) -> int:
+    a = int(size**0.5)
+    while a * a < size:
+        a += 1
+    return a
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int = 8) -> int:
     """A keyed permutation of ``range(size)``: an alternating Feistel network, walked until it lands inside."""
     if size < 2:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = _half(size)
     while True:
         left, right = divmod(value, a)
         for r in range(rounds):
@@ -450,9 +494,7 @@ def unfeistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int
     """The inverse of :func:`feistel`, for whoever holds the key."""
     if size < 2:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = _half(size)
     while True:
         left, right = divmod(value, a)
         for r in reversed(range(rounds)):
@@ -462,80 +504,198 @@ def unfeistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int
             return value
 
 
-_EPOCH = dt.date(1900, 1, 1)
-_DAYS = (dt.date(2030, 1, 1) - _EPOCH).days
+#: Dates of identity numbers: all of the centuries their format allows.
+_EPOCH = dt.date(1800, 1, 1)
+_DAYS = (dt.date(2100, 1, 1) - _EPOCH).days
+#: Weights of ISO 7064 mod 11-2 over 17 digits and its check characters; weights of 11 digits before a check digit.
 _CHECK = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+_CHARACTERS = "10X98765432"
+_CHECK_11 = (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
+#: Country codes of one and two digits; all others have three.
+_CODES_1 = ("1", "7")
+_CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+_EXTENSION = re.compile(r"(?i)[ ]?(?:,[ ]?)?(?:ext\.?|x|extension|Durchwahl|转|内線)[ ]?(?=\d{1,5}$)")
+
+_TEN, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def check_character(digits: str) -> str:
     """ISO 7064 mod 11-2 over the first 17 digits."""
-    return "10X98765432"[sum(int(d) * w for d, w in zip(digits, _CHECK, strict=True)) % 11]
-
-
-def pseudonym(kind: str, value: str, key: bytes) -> str:
+    return _CHARACTERS[sum(int(d) * w for d, w in zip(digits, _CHECK, strict=True)) % 11]
+
+
+def check_of_10(digits: str) -> str:
+    """ISO 7064 mod 11,10 over ten digits."""
+    p = 10
+    for d in digits:
+        p = ((int(d) + p) % 10 or 10) * 2 % 11
+    return str((11 - p) % 10)
+
+
+def check_of_11(digits: str) -> str:
+    """Weighted sum mod 11 over eleven digits."""
+    left = sum(int(d) * w for d, w in zip(digits, _CHECK_11, strict=True)) % 11
+    return "0" if left <= 1 else str(11 - left)
+
+
+#: Check digits by the length of an identity number of digits only.
+_CHECKS = {11: (check_of_10, _TEN), 12: (check_of_11, _TEN), 18: (check_character, _CHARACTERS)}
+
+
+def _permuted(value: str, places: list[str], key: bytes, tweak: str, back: bool) -> str:
+    """``value`` among all strings with ``places`` as alphabets; a place of one character stays."""
+    n, size = 0, 1
+    for c, alphabet in zip(value, places, strict=True):
+        n = n * len(alphabet) + alphabet.index(c)
+        size *= len(alphabet)
+    n = (unfeistel if back else feistel)(n, size, key, f"{tweak}|{'/'.join(places)}".encode())
+    out = []
+    for alphabet in reversed(places):
+        n, k = divmod(n, len(alphabet))
+        out.append(alphabet[k])
+    return "".join(reversed(out))
+
+
+def _phone_places(digits: str, plus: bool) -> list[str]:
+    """Alphabets of the digits of a phone number; what its format hangs on stays as it is."""
+    places: list[str] = []
+    if plus or digits[:2] == "00":
+        rest = digits if plus else digits[2:]
+        size = 1 if rest[:1] in _CODES_1 else 2 if rest[:2] in _CODES_2 else 3
+        places = list(digits[: len(digits) - len(rest) + size])
+    local = digits[len(places) :]
+    if local[:1] == "0":
+        second = local[1:2]
+        if second not in ("", "0"):
+            second = "123456789" if len(local) != 11 else "7" if second == "7" else "12345689"
+        places += ["0", second] if second else ["0"]
+    elif local[:1] == "1":
+        places += ["1"] + (["012" if local[1] < "3" else "3456789"] if len(local) == 11 else [])
+    elif local:
+        places.append("23456789")
+    return places + [_TEN] * (len(digits) - len(places))
+
+
+def _phone(digits: str, plus: bool, key: bytes, back: bool) -> str:
+    return _permuted(digits, _phone_places(digits, plus), key, "phone", back)
+
+
+def _day(date: str) -> int:
+    try:
+        day = (dt.date(int(date[:4]), int(date[4:6]), int(date[6:])) - _EPOCH).days
+    except ValueError:
+        return -1
+    return day if day < _DAYS else -1
+
+
+def _id_number(value: str, key: bytes, back: bool) -> str:
+    """``value`` without separators, in capitals."""
+    checked = _CHECKS.get(len(value)) if re.fullmatch(r"\d+X?", value, re.A) else None
+    if checked and (value[-1] in checked[1]) and (len(value) != 18 or _day(value[6:14]) >= 0):
+        body, (check, alphabet) = value[:-1], checked
+        off = alphabet.index(value[-1]) - alphabet.index(check(body))
+        if len(value) == 18:
+            place = _permuted(body[:6] + body[14:], [_TEN] * 9, key, "id place", back)
+            day = (unfeistel if back else feistel)(_day(body[6:14]), _DAYS, key, b"id date")
+            body = place[:6] + (_EPOCH + dt.timedelta(day)).strftime("%Y%m%d") + place[6:]
+        else:
+            body = _permuted(body, [_TEN] * len(body), key, "id", back)
+        return body + alphabet[(alphabet.index(check(body)) + off) % len(alphabet)]
+    places = [_TEN if c.isdigit() else _LETTERS for c in value]
+    if re.fullmatch(r"\d+X", value, re.A):
+        places[-1] = "X"
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", value, re.A):
+        places[-1] = "ABCD"
+    new = _permuted(value, places, key, "id", back)
+    while len(value) == 18 and new[:17].isdigit() and _day(new[6:14]) >= 0:  # numbers without a date stay among themselves
+        new = _permuted(new, places, key, "id", back)
+    return new
+
+
+@lru_cache(100_000)
+def _number(kind: str, value: str, key: bytes, back: bool) -> str:
+    if kind == "phone":
+        return _phone(value.removeprefix("+"), value[0] == "+", key, back)
+    if kind == "extension":
+        return _permuted(value, [_TEN] * len(value), key, kind, back)
+    return _id_number(value, key, back)
+
+
+def _in_format(given: str, plain: str, new: str, keep: re.Pattern) -> str:
+    """The characters of ``new`` in the places of ``plain`` that ``keep`` fits, in the case and width of ``given``."""
+    out, at = [], iter(new)
+    for g, p in zip(given, plain, strict=True):
+        if keep.match(p):
+            c = next(at)
+            c = c.lower() if p.islower() else c
+            out.append(chr(ord(c) + 0xFEE0) if g != p else c)
+        else:
+            out.append(g)
+    return "".join(out)
+
+
+_DIGIT, _SIGN = re.compile(r"\d", re.A), re.compile(r"[0-9A-Za-z]")
+
+
+def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str:
     """The value's stand-in: for numbers in the same format, else a keyed tag of the folded value."""
     plain = value.translate(_WIDTH)
-    if kind in ("phone", "id_number"):
-        digits = "".join(_DIGITS.findall(plain))
-        m = re.fullmatch(r"(\d{6})(\d{8})(\d{3})(\d|[Xx])", re.sub(r"[ -]", "", plain))
-        new = None
-        if kind == "id_number" and m:
-            try:
-                day = (dt.date(int(m[2][:4]), int(m[2][4:6]), int(m[2][6:])) - _EPOCH).days
-            except ValueError:
-                day = -1
-            if 0 <= day < _DAYS:
-                tail = feistel(int(m[1] + m[3]), 10**9, key, b"place")
-                body = f"{tail:09d}"
-                date = (_EPOCH + dt.timedelta(feistel(day, _DAYS, key, b"date"))).strftime("%Y%m%d")
-                new = body[:6] + date + body[6:]
-                new += check_character(new)
-                digits = m[1] + m[2] + m[3] + m[4]
-        if new is None:
-            new = f"{feistel(int(digits), 10 ** len(digits), key, kind.encode()):0{len(digits)}d}" if digits else ""
-        it = iter(new)
-        out = []
-        for c in plain:
-            if c.isdigit() or (len(new) == 18 and len(digits) == 18 and c in "Xx"):
-                out.append(next(it, c))
-            else:
-                out.append(c)
-        return "".join(out)
+    if kind == "phone":
+        extra = m.end() if (m := _EXTENSION.search(plain)) else len(plain)
+        digits = "".join(_DIGIT.findall(plain[:extra]))
+        new = _number("phone", "+" * (plain[:1] == "+") + digits, key, back) if digits else ""
+        if extra < len(plain):
+            new += _number("extension", plain[extra:], key, back)
+        return _in_format(value, plain, new, _DIGIT)
+    if kind == "id_number":
+        signs = "".join(_SIGN.findall(plain)).upper()
+        return _in_format(value, plain, _number(kind, signs, key, back) if signs else "", _SIGN)
     folded = re.sub(r"[\s,.\-]+", " ", unicodedata.normalize("NFKC", plain).casefold()).strip()
     if kind == "person":
         folded = " ".join(sorted(folded.split()))
-    return hmac.new(key, f"{kind}|{folded}".encode(), hashlib.sha256).hexdigest()[:10]
+    return hashlib.blake2b(f"{kind}|{folded}".encode(), key=key[:64], digest_size=5).hexdigest()
+
+
+def reveal(kind: str, stand: str, key: bytes) -> str:
+    """The number behind a pseudonym, for whoever holds the key."""
+    if kind not in ("phone", "id_number"):
+        raise ValueError(f"pseudonyms of kind {kind} are tags and can't be read back")
+    return pseudonym(kind, stand, key, back=True)
 
 
-def redact(text: str | None, finds: list[tuple[str, int, int]], key: bytes) -> str | None:
+def redact(text: str | None, finds: list[tuple[str, int, int]], stands: list[str]) -> str | None:
     """The text with ``<KIND:pseudonym>`` for every find and otherwise unchanged."""
     if text is None:
         return None
     out, at = [], 0
-    for kind, a, b in finds:
-        out += [text[at:a], f"<{kind.upper()}:{pseudonym(kind, text[a:b], key)}>"]
+    for (kind, a, b), stand in zip(finds, stands, strict=True):
+        out += [text[at:a], f"<{kind.upper()}:{stand}>"]
         at = b
     return "".join([*out, text[at:]])
 
 
-def find_pii(documents: DataFrame, doc_id: str, text: str, roster: DataFrame, key: str | None = None) -> DataFrame:
-    """Per document its finds ``array<struct<kind,start,end>>`` and, with a key, its text with placeholders.
+def find_pii(documents: DataFrame, doc_id: str, text: str, roster: DataFrame, key: str) -> DataFrame:
+    """Per document its finds ``array<struct<kind,start,end,pseudonym>>`` and its text with placeholders.
 
-    One narrow pass over whole texts after the pass that learns the inventories; nothing but counts is shuffled.
+    One narrow pass over whole texts after the pass that learns the inventories; nothing but counts is shuffled. ``key`` is
+    the secret of the pseudonyms; keys longer than 64 bytes count by their digest.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     known = learn_inventory(documents, text, roster)
     sent = documents.sparkSession.sparkContext.broadcast((known.roster, known.zh_family, known.zh_given, known.ja_family, known.ja_given))
     made: list[Inventory] = []
-    secret = None if key is None else key.encode()
+    secret = key.encode() if len(key.encode()) <= 64 else hashlib.blake2b(key.encode()).digest()
 
-    @F.pandas_udf("struct<finds:array<struct<kind:string,start:int,end:int>>,clean:string>")
+    @F.pandas_udf("struct<finds:array<struct<kind:string,start:int,end:int,pseudonym:string>>,clean:string>")
     def run(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Inventory(*sent.value))
         rows = []
         for t in texts:
             finds = find(t, made[0])
-            rows.append(([{"kind": k, "start": a, "end": b} for k, a, b in finds], None if secret is None else redact(t, finds, secret)))
+            stands = [pseudonym(k, t[a:b], secret) for k, a, b in finds]
+            rows.append(([{"kind": k, "start": a, "end": b, "pseudonym": p} for (k, a, b), p in zip(finds, stands, strict=True)], redact(t, finds, stands)))
         return pd.DataFrame(rows, columns=["finds", "clean"])
 
     # not deterministic for the optimizer only: else a generator over the result makes it run the function again in filters

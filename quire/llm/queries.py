@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,17 +172,32 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 9: personal information ----------------------------------------------------------------------------
 
-#: The key of a run's pseudonyms; deployments give their own.
-_KEY = "quire-demo-key"
+#: Setting that holds the secret of the pseudonyms. Without it a session draws its own, so pseudonyms link within it only.
+PII_KEY = "spark.quire.pii.key"
+
+
+def _pii(spark: SparkSession, d: str) -> DataFrame:
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(PII_KEY, key)
+    return pii.find_pii(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "speaker_roster"), key)
 
 
 @LLM.add("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.find_pii(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "speaker_roster"))
-    return found.select("doc_id", F.explode("finds").alias("f")).select("doc_id", F.col("f.kind").alias("pii_kind"), F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"))
+    """Finds of the run that makes the pseudonyms."""
+    return _pii(spark, d).select("doc_id", F.explode("finds").alias("f")).select("doc_id", F.col("f.kind").alias("pii_kind"), F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"))
 
 
 @LLM.add("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.find_pii(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "speaker_roster"), _KEY)
-    return found.select("doc_id", F.col("clean").alias("text"))
+    return _pii(spark, d).select("doc_id", F.col("clean").alias("text"))
+
+
+@LLM.add("p9_linked")
+def p9_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudonyms that stand in several documents, with their documents and places; counts are combined before the shuffle."""
+    finds = _pii(spark, d).select("doc_id", F.explode("finds").alias("f"))
+    per_doc = finds.groupBy(F.col("f.kind").alias("pii_kind"), F.col("f.pseudonym").alias("pseudonym"), "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("pii_kind", "pseudonym").agg(F.count("*").alias("documents"), F.sum("n").alias("places")).filter("documents > 1")
