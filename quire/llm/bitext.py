@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -29,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.segment import told
+from quire.session import cut_lineage
 from quire.sources.tables import by_keys, spread
 
 #: Rows a side that blocks of long documents aim at, and rows of their neighbours that they see.
 BLOCK_ROWS, MARGIN = 400, 10
 #: Glossaries travel as a closure up to this many terms.
 MOST_TERMS = 200_000
-#: Word pairs of the lexicon: least joint count, least Dice value, partners per word, and entries that may be sent.
-LEAST_COUNT, LEAST_DICE, PARTNERS, MOST_PAIRS = 2, 0.2, 8, 1_000_000
-#: Sentences with more words than this teach no words; every word of theirs would be paired with every other.
-LEARN_WORDS = 150
+#: Word pairs of the lexicon: least joint count and least Dice value.
+LEAST_COUNT, LEAST_DICE = 2, 0.2
+#: Entries of the lexicon that are sent to all tasks; a larger one is joined to the documents' words, with the same result.
+MOST_SENT = 1_000_000
 #: Rows of a gap beyond which the dynamic programming visits only the steps that can gain.
 DENSE_ROWS = 40
 
@@ -70,6 +71,19 @@ def number(text: str) -> str:
     return "".join(parts).lstrip("0") or "0"
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of any of the words, the longest first, that reads every character once."""
+    heads: dict[str, list[str]] = defaultdict(list)
+    for w in words:
+        heads[w[:1]].append(w[1:])
+    ends = heads.pop("", None) is not None
+    ways = [re.escape(c) + (_trie(rest) if rest != [""] else "") for c, rest in sorted(heads.items())]
+    if not ways:
+        return ""
+    both = ways[0] if len(ways) == 1 and not ends else f"(?:{'|'.join(ways)})"
+    return both + ("?" if ends else "")
+
+
 class Terms:
     """Glossary terms of all languages, found by one pattern."""
 
@@ -79,8 +93,9 @@ class Terms:
             for form in forms:
                 if form and form.strip():
                     self.ids[form.strip().lower()] = int(term_id)
-        forms = sorted(self.ids, key=len, reverse=True)
-        self.pattern = re.compile("|".join(rf"\b{re.escape(f)}\b" if f[0].isascii() else re.escape(f) for f in forms)) if forms else None
+        whole, parts = ([f for f in self.ids if f[0].isascii() == ascii_] for ascii_ in (True, False))
+        found = [rf"\b(?:{_trie(whole)})\b"] * bool(whole) + [_trie(parts)] * bool(parts)
+        self.pattern = re.compile("|".join(found)) if found else None
 
     def take(self, text: str) -> tuple[list[str], str]:
         if self.pattern is None:
@@ -167,23 +182,42 @@ def covered(a: dict[str, float], b: dict[str, float], lexicon: Lexicon) -> float
     return sum(w * lexicon.best(f, b) for f, w in a.items())
 
 
-def likeness(a: list[Sentence], b: list[Sentence], lexicon: Lexicon) -> float:
-    if len(a) == len(b) == 1:
-        if a[0].copy == b[0].copy:
+class Pairs:
+    """What the sentences of two texts share, counted once for the whole document and kept per pair that shares anything."""
+
+    def __init__(self, src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon):
+        self.src, self.tgt, self.lexicon = src, tgt, lexicon
+        self.of_src, self.of_tgt = covers(src, tgt, lexicon), covers(tgt, src, lexicon)
+        self.copies: dict[str, list[int]] = defaultdict(list)
+        for j, t in enumerate(tgt):
+            self.copies[t.copy].append(j)
+
+    def like(self, i: int, j: int) -> float:
+        """Likeness of one sentence of either side."""
+        a, b = self.src[i], self.tgt[j]
+        if a.copy == b.copy:
             return 1.0
-        x, y = a[0].weight, b[0].weight
-    else:
-        x, y = {}, {}
-        for s in a:
-            x |= s.weight
-        for s in b:
-            y |= s.weight
-        if len(a) == 1 and a[0].copy == "".join(s.copy for s in b) or len(b) == 1 and b[0].copy == "".join(s.copy for s in a):
+        total = a.total + b.total
+        return (self.of_src[i].get(j, 0.0) + self.of_tgt[j].get(i, 0.0)) / total if total else 0.0
+
+    def group(self, rows: list[int], columns: list[int]) -> float:
+        """Likeness of groups, one of which is one sentence; every member of the other must have its part in it."""
+        if len(rows) == len(columns) == 1:
+            return self.like(rows[0], columns[0])
+        one, many = (self.src[rows[0]], [self.tgt[j] for j in columns]) if len(rows) == 1 else (self.tgt[columns[0]], [self.src[i] for i in rows])
+        if one.copy == "".join(s.copy for s in many):
             return 1.0
-        if any(covered(s.weight, y if group is a else x, lexicon) < PART_SHARE * s.total for group in (a, b) if len(group) > 1 for s in group):
+        if len(rows) == 1:
+            poor = any(self.of_tgt[j].get(rows[0], 0.0) < PART_SHARE * self.tgt[j].total for j in columns)
+        else:
+            poor = any(self.of_src[i].get(columns[0], 0.0) < PART_SHARE * self.src[i].total for i in rows)
+        if poor:
             return 0.0
-    total = sum(x.values()) + sum(y.values())
-    return (covered(x, y, lexicon) + covered(y, x, lexicon)) / total if total else 0.0
+        all_: dict[str, float] = {}
+        for s in many:
+            all_ |= s.weight
+        total = one.total + sum(all_.values())
+        return (covered(one.weight, all_, self.lexicon) + covered(all_, one.weight, self.lexicon)) / total if total else 0.0
 
 
 def chain(points: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -207,97 +241,85 @@ def chain(points: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     return out[::-1]
 
 
-def anchors(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, float]]:
+def anchors(p: Pairs) -> list[tuple[int, int, float]]:
     """Pairs that share a feature, or a whole text, which either side has once."""
-    votes: Counter = Counter()
-    for side_a, side_b in [({}, {})]:
-        for side, sentences in ((side_a, src), (side_b, tgt)):
-            for i, s in enumerate(sentences):
-                for f, w in s.weight.items():
-                    if w >= 1.0:
-                        side.setdefault(f, []).append(i)
-                side.setdefault("=" + s.copy, []).append(i)
-        for f, where in side_a.items():
-            there = side_b.get(f)
-            if there and len(where) == len(there) == 1:
-                votes[(where[0], there[0])] += 1
-    found = []
-    for (i, j), _ in votes.items():
-        like = likeness([src[i]], [tgt[j]], lexicon)
-        if like >= 0.4:
-            found.append((i, j, like))
+    sides: list[dict[str, list[int]]] = [{}, {}]
+    for side, sentences in zip(sides, (p.src, p.tgt), strict=True):
+        for i, s in enumerate(sentences):
+            for f, w in s.weight.items():
+                if w >= 1.0:
+                    side.setdefault(f, []).append(i)
+            side.setdefault("=" + s.copy, []).append(i)
+    votes = {(where[0], there[0]) for f, where in sides[0].items() if len(where) == 1 and (there := sides[1].get(f)) and len(there) == 1}
+    found = [(i, j, like) for i, j in sorted(votes) if (like := p.like(i, j)) >= 0.4]
     best_i: dict[int, float] = {}
     best_j: dict[int, float] = {}
     for i, j, s in found:
         best_i[i], best_j[j] = max(s, best_i.get(i, 0)), max(s, best_j.get(j, 0))
-    return [p for p in found if p[2] >= best_i[p[0]] and p[2] >= best_j[p[1]]]
+    return [x for x in found if x[2] >= best_i[x[0]] and x[2] >= best_j[x[1]]]
 
 
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1))
 
 
-def align_gap(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, int, int, float]]:
+def align_gap(p: Pairs, i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int, int, int, float]]:
     """Dynamic programming over a gap; steps must be worth more than skipping their sentences."""
-    m, n = len(src), len(tgt)
+    m, n = i1 - i0, j1 - j0
     if not m or not n:
         return []
     if max(m, n) > DENSE_ROWS:
-        return align_wide(src, tgt, lexicon)
-    known: dict[tuple, float] = {}
-    best = {(0, 0): (0.0, None)}
+        return align_wide(p, i0, i1, j0, j1)
+    best = [[0.0] * (n + 1) for _ in range(m + 1)]
+    how: list[list[tuple | None]] = [[None] * (n + 1) for _ in range(m + 1)]
     for i in range(m + 1):
         for j in range(n + 1):
-            if (i, j) == (0, 0):
+            if not i and not j:
                 continue
-            top, how = -1.0, None
-            for di, dj in ((1, 0), (0, 1)):
-                if (p := best.get((i - di, j - dj))) and p[0] > top:
-                    top, how = p[0], (di, dj, 0.0)
-            for di, dj in STEPS:
-                if i >= di and j >= dj and (p := best.get((i - di, j - dj))):
-                    like = known.get(key := (i, j, di, dj))
-                    if like is None:
-                        like = known[key] = likeness(src[i - di : i], tgt[j - dj : j], lexicon)
-                    gain = (like - NEED) * (di + dj)
-                    if gain > 0 and p[0] + gain > top:
-                        top, how = p[0] + gain, (di, dj, like)
-            best[(i, j)] = (top, how)
+            top, way = -1.0, None
+            if i:
+                top, way = best[i - 1][j], (1, 0, 0.0)
+            if j and best[i][j - 1] > top:
+                top, way = best[i][j - 1], (0, 1, 0.0)
+            if i and j:
+                for di, dj in STEPS:
+                    if i >= di and j >= dj:
+                        like = p.like(i0 + i - 1, j0 + j - 1) if di == dj else p.group(list(range(i0 + i - di, i0 + i)), list(range(j0 + j - dj, j0 + j)))
+                        gain = (like - NEED) * (di + dj)
+                        if gain > 0 and best[i - di][j - dj] + gain > top:
+                            top, way = best[i - di][j - dj] + gain, (di, dj, like)
+            best[i][j], how[i][j] = top, way
     out, i, j = [], m, n
-    while (i, j) != (0, 0):
-        how = best[(i, j)][1]
-        if how is None:
-            break
-        if how[2]:
-            out.append((i - how[0], i, j - how[1], j, how[2]))
-        i, j = i - how[0], j - how[1]
+    while i or j:
+        di, dj, like = how[i][j]
+        if like:
+            out.append((i0 + i - di, i0 + i, j0 + j - dj, j0 + j, like))
+        i, j = i - di, j - dj
     return out[::-1]
 
 
-def align_wide(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, int, int, float]]:
+def align_wide(p: Pairs, i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int, int, int, float]]:
     """The same optimum over a whole large gap, from the steps that gain alone; skipping is free.
 
     A sentence of a group needs PART_SHARE of its weight in the other side, which is one sentence, so pairs tell
     which groups can be. The best chain of steps comes from prefix maximums over the target's positions.
     """
-    m, n = len(src), len(tgt)
-    of_src, of_tgt = covers(src, tgt, lexicon), covers(tgt, src, lexicon)
-    copies: dict[str, list[int]] = defaultdict(list)
-    for j, t in enumerate(tgt):
-        copies[t.copy].append(j)
-    shared = [sorted({*of_src[i], *copies.get(s.copy, ())}) for i, s in enumerate(src)]
+    src, tgt, of_src, of_tgt = p.src, p.tgt, p.of_src, p.of_tgt
+    m, n = i1 - i0, j1 - j0
+    shared = [sorted(j for j in {*of_src[i], *p.copies.get(src[i].copy, ())} if j0 <= j < j1) for i in range(i0, i1)]
     steps: list[set[tuple[int, int, int]]] = [set() for _ in range(m + 1)]  # by their end in src: end in tgt and size
-    for i in range(m):
-        for j in shared[i]:
-            steps[i + 1].add((j + 1, 1, 1))
+    for x, found_here in enumerate(shared):
+        i = i0 + x
+        for j in found_here:
+            steps[x + 1].add((j - j0 + 1, 1, 1))
             for k in (2, 3):  # every group holds a pair that shares features, at any of its places
                 for d in range(k):
-                    if 0 <= (first := j - d) and first + k <= n:
+                    if j0 <= (first := j - d) and first + k <= j1:
                         if all(of_tgt[y].get(i, 0.0) >= PART_SHARE * tgt[y].total for y in range(first, first + k)):
-                            steps[i + 1].add((first + k, 1, k))
-                    if 0 <= (first := i - d) and first + k <= m:
-                        if all(of_src[x].get(j, 0.0) >= PART_SHARE * src[x].total for x in range(first, first + k)):
-                            steps[first + k].add((j + 1, k, 1))
-    for one, many, turned in ((src, tgt, False), (tgt, src, True)):  # a text that is exactly two or three others
+                            steps[x + 1].add((first + k - j0, 1, k))
+                    if i0 <= (first := i - d) and first + k <= i1:
+                        if all(of_src[y].get(j, 0.0) >= PART_SHARE * src[y].total for y in range(first, first + k)):
+                            steps[first + k - i0].add((j - j0 + 1, k, 1))
+    for one, many, turned in ((src[i0:i1], tgt[j0:j1], False), (tgt[j0:j1], src[i0:i1], True)):  # a text that is exactly two or three others
         whole: dict[str, list[int]] = defaultdict(list)
         for i, s in enumerate(one):
             whole[s.copy].append(i)
@@ -324,23 +346,27 @@ def align_wide(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> li
     found: list[tuple[int, int, int, int, float]] = []
     for i in range(1, m + 1):
         for j, di, dj in steps[i]:
-            like = likeness(src[i - di : i], tgt[j - dj : j], lexicon)
+            like = p.group(list(range(i0 + i - di, i0 + i)), list(range(j0 + j - dj, j0 + j)))
             if like > NEED:
                 found.append((i - di, i, j - dj, j, like))
     # in order of their start; chains that end at or before it are in the tree by then
-    for i0, i1, j0, j1, like in sorted(found):
-        for end in [e for e in sorted(waiting) if e <= i0]:
-            for at, score, no in waiting.pop(end):
+    ends = sorted({f[1] for f in found})
+    done = 0
+    for a0, a1, b0, b1, like in sorted(found):
+        upto = bisect_right(ends, a0)
+        for end in ends[done:upto]:
+            for at, score, no in waiting.pop(end, ()):
                 at += 1
                 while at <= n + 1:
                     if score > trees[at][0]:
                         trees[at] = (score, no)
                     at += at & -at
-        score, last = before(j0)
-        taken.append((i0, i1, j0, j1, like, last))
-        waiting[i1].append((j1, score + (like - NEED) * (i1 - i0 + j1 - j0), len(taken) - 1))
-    for ends in waiting.values():
-        for at, score, no in ends:
+        done = max(done, upto)
+        score, last = before(b0)
+        taken.append((a0, a1, b0, b1, like, last))
+        waiting[a1].append((b1, score + (like - NEED) * (a1 - a0 + b1 - b0), len(taken) - 1))
+    for held in waiting.values():
+        for at, score, no in held:
             at += 1
             while at <= n + 1:
                 if score > trees[at][0]:
@@ -348,44 +374,44 @@ def align_wide(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> li
                 at += at & -at
     out, no = [], before(n)[1]
     while no >= 0:
-        out.append(taken[no][:5])
-        no = taken[no][5]
+        a0, a1, b0, b1, like, no = taken[no]
+        out.append((i0 + a0, i0 + a1, j0 + b0, j0 + b1, like))
     return out[::-1]
 
 
 def align(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, float]]:
     """Linked positions with their likeness."""
-    fixed = chain(anchors(src, tgt, lexicon))
+    p = Pairs(src, tgt, lexicon)
+    fixed = chain(anchors(p))
     links: dict[tuple[int, int], float] = {}
-    strong = [p for p in fixed if p[2] >= 0.75]
     a = b = 0
-    for i, j, sure in [*strong, (len(src), len(tgt), 0.0)]:
-        for i0, i1, j0, j1, like in align_gap(src[a:i], tgt[b:j], lexicon):
+    for i, j, sure in [*(x for x in fixed if x[2] >= 0.75), (len(src), len(tgt), 0.0)]:
+        for i0, i1, j0, j1, like in align_gap(p, a, i, b, j):
             for x in range(i0, i1):
                 for y in range(j0, j1):
-                    links[(a + x, b + y)] = like
+                    links[(x, y)] = like
         if i < len(src) and j < len(tgt):
             links[(i, j)] = sure
         a, b = i + 1, j + 1
-    leftovers(src, tgt, lexicon, links)
-    fill(src, tgt, lexicon, links)
+    leftovers(p, links)
+    fill(p, links)
     return [(i, j, s) for (i, j), s in links.items()]
 
 
-def fill(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links: dict[tuple[int, int], float]) -> None:
+def fill(p: Pairs, links: dict[tuple[int, int], float]) -> None:
     """A sentence of either side that alone stands between two linked neighbours is a weak pair, if no number speaks against it."""
     of_i = {i: j for i, j in sorted(links)}
     linked_j = {j for _, j in links}
-    for i, s in enumerate(src):
+    for i, s in enumerate(p.src):
         if i in of_i:
             continue
         before = of_i.get(i - 1, -1 if i == 0 else None)
-        after = of_i.get(i + 1, len(tgt) if i == len(src) - 1 else None)
+        after = of_i.get(i + 1, len(p.tgt) if i == len(p.src) - 1 else None)
         if before is None or after is None or after - before != 2 or before + 1 in linked_j:
             continue
-        t = tgt[before + 1]
+        t = p.tgt[before + 1]
         hard = {f for f in s.weight.keys() ^ t.weight.keys() if f[0] in "nd" and f[1:2].isdigit()}
-        like = likeness([s], [t], lexicon)
+        like = p.like(i, before + 1)
         if not hard and like >= WEAK:
             links[(i, before + 1)] = like
             linked_j.add(before + 1)
@@ -397,41 +423,39 @@ def covers(a: list[Sentence], b: list[Sentence], lexicon: Lexicon) -> list[dict[
     for j, t in enumerate(b):
         for f in t.weight:
             index[f].append(j)
+    known: dict[str, list[tuple[int, float]]] = {}
+
+    def partners(f: str) -> list[tuple[int, float]]:
+        found: dict[int, float] = {}
+        for g, dice in lexicon.partners.get(f, {}).items():
+            v = min(1.0, 1.5 * dice)
+            for j in index.get(g, ()):
+                if v > found.get(j, 0.0):
+                    found[j] = v
+        for j in index.get(f, ()):
+            found[j] = 1.0
+        known[f] = here = list(found.items())
+        return here
+
     out = []
     for s in a:
         sums: dict[int, float] = defaultdict(float)
         for f, w in s.weight.items():
-            found: dict[int, float] = {}
-            for g, dice in lexicon.partners.get(f, {}).items():
-                v = min(1.0, 1.5 * dice)
-                for j in index.get(g, ()):
-                    if v > found.get(j, 0.0):
-                        found[j] = v
-            for j in index.get(f, ()):
-                found[j] = 1.0
-            for j, v in found.items():
+            for j, v in known[f] if f in known else partners(f):
                 sums[j] += w * v
         out.append(sums)
     return out
 
 
-def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links: dict[tuple[int, int], float]) -> None:
+def leftovers(p: Pairs, links: dict[tuple[int, int], float]) -> None:
     """Moved sentences, then parts of joined or divided ones, found through the features they share."""
+    src, tgt, of_src, of_tgt = p.src, p.tgt, p.of_src, p.of_tgt
     free_i = {i for i in range(len(src))} - {i for i, _ in links}
     free_j = {j for j in range(len(tgt))} - {j for _, j in links}
     if not free_i and not free_j:
         return
-    list_i, list_j = sorted(free_i), sorted(free_j)
-    of_src = {i: c for i, c in zip(list_i, covers([src[i] for i in list_i], tgt, lexicon), strict=True)}
-    of_tgt = {j: c for j, c in zip(list_j, covers([tgt[j] for j in list_j], src, lexicon), strict=True)}
-    same: dict[str, list[int]] = defaultdict(list)
-    for j in list_j:
-        same[tgt[j].copy].append(j)
-    pairs = [(1.0, i, j) for i in list_i for j in same.get(src[i].copy, ())]
-    for i, row in of_src.items():
-        for j, there in row.items():
-            if j in free_j and src[i].copy != tgt[j].copy and (like := (there + of_tgt[j].get(i, 0.0)) / (src[i].total + tgt[j].total)) >= 0.5:
-                pairs.append((like, i, j))
+    pairs = [(1.0, i, j) for i in sorted(free_i) for j in p.copies.get(src[i].copy, ()) if j in free_j]
+    pairs += [(like, i, j) for i in sorted(free_i) for j in of_src[i] if j in free_j and src[i].copy != tgt[j].copy and (like := p.like(i, j)) >= 0.5]
     for like, i, j in sorted(pairs, reverse=True):
         if i in free_i and j in free_j:
             links[(i, j)] = like
@@ -447,11 +471,9 @@ def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links:
         if i not in free_i and j not in free_j:
             continue
         if i in free_i:
-            before = likeness([src[k] for k in sorted(of_j[j])], [tgt[j]], lexicon)
-            after = likeness([src[k] for k in sorted(of_j[j] | {i})], [tgt[j]], lexicon)
+            before, after = (p.group(sorted(rows), [j]) for rows in (of_j[j], of_j[j] | {i}))
         else:
-            before = likeness([src[i]], [tgt[k] for k in sorted(of_i[i])], lexicon)
-            after = likeness([src[i]], [tgt[k] for k in sorted(of_i[i] | {j})], lexicon)
+            before, after = (p.group([i], sorted(columns)) for columns in (of_i[i], of_i[i] | {j}))
         if after > before + 0.03:
             links[(i, j)] = share
             of_i[i].add(j)
@@ -462,7 +484,7 @@ def leftovers(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon, links:
 
 def match_rest(src: list[Sentence], tgt: list[Sentence], lexicon: Lexicon) -> list[tuple[int, int, float]]:
     links: dict[tuple[int, int], float] = {}
-    leftovers(src, tgt, lexicon, links)
+    leftovers(Pairs(src, tgt, lexicon), links)
     return [(i, j, s) for (i, j), s in links.items()]
 
 
@@ -481,12 +503,12 @@ def _glossary(glossary: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def learn(rows: DataFrame, terms: list[tuple]) -> tuple[list[tuple[str, str, float]], dict[str, float]]:
-    """The lexicon of the whole table.
+def learn(rows: DataFrame, terms: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """The lexicon of the whole table: pairs ``x, y, dice`` and words ``w, share``.
 
     Every key (a number, date or set of terms of a sentence) that either side of a document has once ties two
     sentences. Keys are grouped by document and key, so no document meets in one task; counts are combined
-    before the shuffle.
+    before the shuffle. Words are counted first, and only those are paired whose counts allow the least Dice value.
     """
     made: list[Terms] = []
 
@@ -513,27 +535,47 @@ def learn(rows: DataFrame, terms: list[tuple]) -> tuple[list[tuple[str, str, flo
             F.max(F.when(tgt, F.struct("words", "class"))).alias("b"),
         )
         .filter((F.col("s0") == F.col("s1")) & (F.col("t0") == F.col("t1")) & (F.col("a.class") != F.col("b.class")))
-        .filter((F.size("a.words") <= LEARN_WORDS) & (F.size("b.words") <= LEARN_WORDS))
     )
-    links = tied.groupBy("s0", "t0").agg(F.max("a").alias("a"), F.max("b").alias("b")).select(F.concat_ws("-", F.array_sort(F.array("a.class", "b.class"))).alias("kind"), F.col("a.words").alias("x"), F.col("b.words").alias("y"))
-    from quire.session import cut_lineage
-
+    links = tied.groupBy("s0", "t0").agg(F.max("a").alias("a"), F.max("b").alias("b")).select("s0", "t0", F.concat_ws("-", F.array_sort(F.array("a.class", "b.class"))).alias("kind"), F.col("a.words").alias("x"), F.col("b.words").alias("y"))
     links = cut_lineage(links)
     total = links.groupBy("kind").agg(F.count("*").alias("n"))
-    single = links.select("kind", F.explode(F.array_distinct(F.concat("x", "y"))).alias("w")).groupBy("kind", "w").agg(F.count("*").alias("c"))
-    single = single.filter(F.col("c") >= LEAST_COUNT)
-    pairs = links.select("kind", F.explode("x").alias("x"), "y").select("kind", "x", F.explode("y").alias("y")).filter(F.col("x") != F.col("y"))
-    pairs = pairs.groupBy("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c")).filter(F.col("c") >= LEAST_COUNT)
-    cx = single.select("kind", F.col("w").alias("x"), F.col("c").alias("cx"))
-    cy = single.select("kind", F.col("w").alias("y"), F.col("c").alias("cy"))
-    from pyspark.sql import Window
-
-    scored = pairs.join(cx, ["kind", "x"]).join(cy, ["kind", "y"]).withColumn("dice", 2 * F.col("c") / (F.col("cx") + F.col("cy"))).filter(F.col("dice") >= LEAST_DICE)
-    top = Window.partitionBy("kind", "x").orderBy(F.desc("dice"), "y")
-    kept = scored.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= PARTNERS).select("x", "y", "dice", "c")
-    found = kept.orderBy(F.desc("c"), "x", "y").limit(MOST_PAIRS).collect()
-    share = single.join(total, "kind").groupBy("w").agg(F.max(F.col("c") / F.col("n")).alias("share"), F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(MOST_PAIRS)
-    return [(r["x"], r["y"], float(r["dice"])) for r in found], {r["w"]: float(r["share"]) for r in share.collect()}
+    single = links.select("kind", F.explode(F.array_distinct(F.concat("x", "y"))).alias("w")).groupBy("kind", "w").agg(F.count("*").alias("c")).filter(F.col("c") >= LEAST_COUNT)
+    single = cut_lineage(single)
+    sided = links.select("s0", "t0", "kind", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("x").alias("ws")), F.struct(F.lit(False).alias("left"), F.col("y").alias("ws")))).alias("s")).select("s0", "t0", "kind", "s.left", F.explode("s.ws").alias("w"))
+    word = F.struct("w", "c")
+    counted = sided.join(single, ["kind", "w"]).groupBy("s0", "t0", "kind").agg(F.collect_list(F.when(F.col("left"), word)).alias("x"), F.collect_list(F.when(~F.col("left"), word)).alias("y"))
+    pairs = counted.select("kind", F.explode("x").alias("x"), "y").select("kind", "x", F.explode("y").alias("y"))
+    # no pair is together more often than the rarer of its words is seen
+    may = (F.col("x.w") != F.col("y.w")) & (2 * F.least("x.c", "y.c") >= LEAST_DICE * (F.col("x.c") + F.col("y.c")))
+    pairs = pairs.filter(may).select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("kind", "x", "y").agg(F.count("*").alias("c"))
+    dice = 2 * F.col("c") / (F.col("x.c") + F.col("y.c"))
+    found = pairs.filter((F.col("c") >= LEAST_COUNT) & (dice >= LEAST_DICE)).groupBy(F.col("x.w").alias("x"), F.col("y.w").alias("y")).agg(F.max(dice).alias("dice"))
+    share = single.join(F.broadcast(total), "kind").groupBy("w").agg(F.max(F.col("c") / F.col("n")).alias("share"))  # a row per pair of languages is sent
+    return cut_lineage(found), cut_lineage(share)
+
+
+def sent_lexicon(found: DataFrame, share: DataFrame) -> tuple | None:
+    """The lexicon as plain values where it is small enough to be sent."""
+    if found.count() > MOST_SENT or share.count() > MOST_SENT:
+        return None
+    return [(r["x"], r["y"], float(r["dice"])) for r in found.collect()], {r["w"]: float(r["share"]) for r in share.collect()}
+
+
+def entries(placed: DataFrame, found: DataFrame, share: DataFrame, terms: list[tuple]) -> DataFrame:
+    """What the lexicon says about the words of every block: ``d, b`` (document, block), ``w, share, partners``."""
+    made: list[Terms] = []
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(Terms(terms))
+        return pd.Series([sorted(set(features(t, made[0])[2])) for t in texts])
+
+    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), "dice"))
+    partners = both.groupBy(F.col("x").alias("w")).agg(F.collect_list(F.struct("y", "dice")).alias("partners"))
+    known = share.join(partners, "w", "full_outer")
+    here = placed.select(F.col("doc_key").alias("d"), F.col("block").alias("b"), F.explode(words.asNondeterministic()("text")).alias("w")).distinct()
+    return here.join(known, "w")
 
 
 LINKS = "doc_key string, src_id bigint, tgt_id bigint, src_idx int, tgt_idx int, score double"
@@ -543,14 +585,18 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
     """One row per pair of rows that carry the same statement, with a score from 0 to 1."""
     rows = spread(clean_rows(sentences))
     terms = _glossary(glossary)
-    pairs, shares = learn(rows, terms)
-    sent = rows.sparkSession.sparkContext.broadcast((pairs, shares))
+    found, share = learn(rows, terms)
+    small = sent_lexicon(found, share)
+    sent = rows.sparkSession.sparkContext.broadcast(small)
     made: list[tuple[Terms, Lexicon]] = []
 
-    def matched(group: pd.DataFrame, how) -> pd.DataFrame:
+    def matched(group: pd.DataFrame, how, about: pd.DataFrame | None = None) -> pd.DataFrame:
         if not made:
-            made.append((Terms(terms), Lexicon(*sent.value)))
+            made.append((Terms(terms), Lexicon(*(sent.value or ([], {})))))
         known, lexicon = made[0]
+        if about is not None:
+            pairs = [(w, p["y"], p["dice"]) for w, ps in zip(about["w"], about["partners"], strict=True) if ps is not None for p in ps]
+            lexicon = Lexicon(pairs, {w: x for w, x in zip(about["w"], about["share"], strict=True) if x == x and x is not None})
         group = group.drop_duplicates("sent_id").sort_values(["idx", "sent_id"], kind="mergesort").reset_index(drop=True)
         han = [bool(_RUN.search("".join(group.loc[group["side"] == side, "text"]))) for side in ("src", "tgt")]
         sides = {side: [Sentence(r, group.at[r, "text"], known, lexicon, all(han)) for r in group.index[group["side"] == side]] for side in ("src", "tgt")}
@@ -561,30 +607,36 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
                 out.append((group.at[a, "doc_key"], int(group.at[a, "sent_id"]), int(group.at[b, "sent_id"]), int(group.at[a, "idx"]), int(group.at[b, "idx"]), float(round(score, 4))))
         return pd.DataFrame(out, columns=["doc_key", "src_id", "tgt_id", "src_idx", "tgt_idx", "score"])
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        return matched(group, align)
+    def each(placed: DataFrame, how) -> DataFrame:
+        """``how`` over every block, with the lexicon that was sent or with what it says about the block's words."""
+        keys = ["doc_key", "block"]
+        if small is not None:
+
+            def run(group: pd.DataFrame) -> pd.DataFrame:
+                return matched(group, how)
+
+            return by_keys(placed, *keys).groupBy(*keys).applyInPandas(run, LINKS)
+
+        def run_with(group: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+            return matched(group, how, about) if len(group) else pd.DataFrame(columns=["doc_key", "src_id", "tgt_id", "src_idx", "tgt_idx", "score"])
+
+        return placed.groupBy(*keys).cogroup(entries(placed, found, share, terms).groupBy("d", "b")).applyInPandas(run_with, LINKS)
 
     sizes = rows.groupBy("doc_key", "side").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b"))
     side = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
     sizes = sizes.groupBy("doc_key").agg(side("src", "a").alias("s_from"), side("src", "b").alias("s_to"), side("tgt", "a").alias("t_from"), side("tgt", "b").alias("t_to"))
-    from quire.session import cut_lineage
-
     long = cut_lineage(sizes.filter(F.greatest(F.col("s_to") - F.col("s_from"), F.col("t_to") - F.col("t_from")) > BLOCK_ROWS).dropna())
     whole = rows.join(F.broadcast(long.select("doc_key")), "doc_key", "left_anti") if (any_long := not long.isEmpty()) else rows
     whole = whole.withColumn("block", F.lit(0)).withColumn("core", F.lit(True))
     if not any_long:
-        return by_keys(whole, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, LINKS)
+        return each(whole, align)
     parts = cut_lineage(rows.join(F.broadcast(long.select("doc_key")), "doc_key"))
     placed = whole.unionByName(in_blocks(parts, blocks(parts, long, terms)))
-    links = cut_lineage(by_keys(placed, "doc_key", "block").groupBy("doc_key", "block").applyInPandas(run, LINKS))
+    links = cut_lineage(each(placed, align))
     # what no block linked meets all other such rows of its document
     linked = links.select("doc_key", F.explode(F.array("src_id", "tgt_id")).alias("sent_id")).distinct()
-    free = parts.join(linked, ["doc_key", "sent_id"], "left_anti").withColumn("core", F.lit(True))
-
-    def rest(key, group: pd.DataFrame) -> pd.DataFrame:
-        return matched(group, match_rest)
-
-    return links.unionByName(by_keys(free, "doc_key").groupBy("doc_key").applyInPandas(rest, LINKS))
+    free = parts.join(linked, ["doc_key", "sent_id"], "left_anti").withColumn("core", F.lit(True)).withColumn("block", F.lit(-1))
+    return links.unionByName(each(free, match_rest))
 
 
 def blocks(rows: DataFrame, long: DataFrame, terms: list[tuple]) -> DataFrame:

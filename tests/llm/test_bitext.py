@@ -1,4 +1,5 @@
 import random
+import re
 
 from quire.llm import bitext as B
 
@@ -71,6 +72,34 @@ def test_accuracy_on_held_out_documents(spark):
     assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
 
 
+def test_a_large_lexicon_is_joined_with_the_same_result(spark, monkeypatch):
+    rows, _ = corpus(25)
+    rows += [(10_000 + 2 * i + k, "long", ("src", "tgt")[k], ("en", "zh")[k], i, (f"Section {i + 1000} describes the site plan.", f"第{i + 1000}节说明总平面图。")[k]) for i in range(60) for k in (0, 1)]
+    monkeypatch.setattr(B, "BLOCK_ROWS", 40)
+    sent = sorted(map(tuple, run(spark, rows)))
+    monkeypatch.setattr(B, "MOST_SENT", 0)
+    assert sorted(map(tuple, run(spark, rows))) == sent
+
+
+def test_long_sentences_teach_words_too(spark):
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rows = []
+    for d in range(4):
+        rows += [(4 * d, f"d{d}", "src", "en", 0, f"{d + 500} zebra " + " ".join(filler)), (4 * d + 1, f"d{d}", "tgt", "de", 0, f"{d + 500} lampe " + " ".join("v" + f[1:] for f in filler))]
+    df = B.clean_rows(spark.createDataFrame(rows, SCHEMA))
+    found, _ = B.learn(df, [])
+    assert ("lampe", "zebra") in {(r["x"], r["y"]) for r in found.collect()}
+
+
+def test_trie_finds_what_an_alternation_finds():
+    rng = random.Random(2)
+    for _ in range(50):
+        words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(8)}
+        text = "".join(rng.choice("abc ") for _ in range(60))
+        plain = re.compile("|".join(sorted(words, key=len, reverse=True)))
+        assert re.findall(B._trie(sorted(words)), text) == plain.findall(text)
+
+
 def test_blocks_of_a_long_document(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_ROWS", 40)
     rows = []
@@ -106,7 +135,7 @@ def test_a_large_gap_is_aligned_as_a_whole():
     gain = lambda found: sum((like - B.NEED) * (i1 - i0 + j1 - j0) for i0, i1, j0, j1, like in found)
     for _ in range(60):
         src, tgt = (sentences([" ".join(rng.sample(words, rng.randrange(4))) or "-" for _ in range(rng.randrange(1, 12))], lexicon) for _ in range(2))
-        assert abs(gain(B.align_gap(src, tgt, lexicon)) - gain(B.align_wide(src, tgt, lexicon))) < 1e-9
+        assert abs(gain(B.align_gap(p := B.Pairs(src, tgt, lexicon), 0, len(src), 0, len(tgt))) - gain(B.align_wide(p, 0, len(src), 0, len(tgt)))) < 1e-9
 
 
 def test_a_large_gap_with_a_missing_part_keeps_its_pairs():
@@ -115,8 +144,8 @@ def test_a_large_gap_with_a_missing_part_keeps_its_pairs():
     name = lambda n: "".join(alpha[int(c)] for c in f"{n:04d}")
     src = sentences([f"only {name(9000 + n)}" for n in range(100)] + [f"{name(n)}x{name(n)} moss" for n in range(100)], lexicon)
     tgt = sentences([f"{name(n)}x{name(n)} fern" for n in range(100)], lexicon)
-    assert {(100 + n, n) for n in range(100)} == {(i0, j0) for i0, _, j0, _, _ in B.align_gap(src, tgt, lexicon)}
-    one = B.align_gap(src[100:101], tgt[:1] + src[:100] + tgt[:1] * 99, lexicon)
+    assert {(100 + n, n) for n in range(100)} == {(i0, j0) for i0, _, j0, _, _ in B.align_gap(B.Pairs(src, tgt, lexicon), 0, 200, 0, 100)}
+    one = B.align_gap(B.Pairs(src[100:101], tgt[:1] + src[:100] + tgt[:1] * 99, lexicon), 0, 1, 0, 200)
     assert len(one) == 1
 
 
