@@ -2,7 +2,8 @@
 
 Method: single-pass tagged emission. A depth-first visitor walks each record once and emits
 ``(root_id, tag, key, parent_key, path, payload)``; the stream is written partitioned by tag and each
-tag's payload gets its schema when it is read back. No record is parsed twice and nothing is shuffled.
+tag's payload gets its schema when it is read back. No record is parsed twice; of the rows only those of records that were
+delivered more than once are shuffled, to merge them.
 
 Defined results: a null, unreadable or non-object record gives only its root row (payload null); elements
 that are no objects give no row but count as positions; an object in place of an array is its element 0;
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import cut_lineage
+
 EMIT_ROWS = 5000
 
 TAGGED = T.StructType(
@@ -49,10 +52,8 @@ class Node:
 
 
 def _content(value):
-    """A string that holds JSON counts as what it holds; once more for doubly encoded text."""
-    for _ in range(3):
-        if not isinstance(value, str):
-            return value
+    """A string that holds JSON counts as what it holds, however often it was encoded; each step is shorter."""
+    while isinstance(value, str):
         head = value.lstrip()[:1]
         if head not in ("{", "[", '"'):
             return None
@@ -60,7 +61,7 @@ def _content(value):
             value = json.loads(value)
         except (ValueError, RecursionError):
             return None
-    return None if isinstance(value, str) else value
+    return value
 
 
 def _descend(obj: dict, path: tuple[str, ...]):
@@ -140,6 +141,32 @@ def write_tagged(tagged: DataFrame, folder: str) -> None:
     tagged.write.mode("overwrite").partitionBy("tag").parquet(folder)
 
 
+#: Ids of repeated records are sent to all tasks up to this many; beyond it they are joined by shuffle.
+MOST_SENT = 1_000_000
+
+
+class Flat:
+    """The tables of a tagged folder, each read under its schema and with every record once."""
+
+    def __init__(self, spark: SparkSession, folder: str, root_tag: str = "root"):
+        self.tagged = spark.read.schema(TAGGED).parquet(folder)
+        roots = self.tagged.filter(F.col("tag") == root_tag).select("root_id")
+        self.repeats = cut_lineage(roots.groupBy(F.col("root_id").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"))
+        self.few = self.repeats.count() <= MOST_SENT
+
+    def table(self, tag: str, schema: str) -> DataFrame:
+        rows = table_of(self.tagged, tag, schema)
+        repeats = F.broadcast(self.repeats) if self.few else self.repeats
+        same = F.col("root_id").eqNullSafe(F.col("again"))
+        return rows.join(repeats, same, "left_anti").unionByName(rows.join(repeats, same, "left_semi").dropDuplicates(["key"]))
+
+
+def flatten(df: DataFrame, id_col: str, json_col: str, nodes: tuple[Node, ...], folder: str) -> Flat:
+    """Walk all records once, write their rows by tag, and give the tables."""
+    write_tagged(emit_tagged(df, id_col, json_col, nodes), folder)
+    return Flat(df.sparkSession, folder)
+
+
 #: Layouts of preserved chats and web pages.
 LAYOUT = (
     Node(
@@ -159,13 +186,20 @@ BLOCK_SCHEMA = "type string, text string, role string, asset_type string, import
 VISUAL_SCHEMA = "type string, alt string, bbox array<int>, bbox_refined array<int>"
 
 
-def layout_items(tagged: DataFrame) -> DataFrame:
-    """Message, block and visual positions of tagged layouts."""
-    path, kind = F.col("path"), F.col("tag")
-    return tagged.filter(kind.isin("message", "block", "visual")).select(
-        F.col("root_id").alias("result_id"),
-        path[0].alias("page_idx"),
-        F.when(kind == "block", "block").otherwise("message").alias("item_kind"),
-        path[1].alias("item_idx"),
-        F.when(kind == "visual", F.get(path, F.lit(2))).otherwise(F.lit(-1)).alias("visual_idx"),
-    )
+SCHEMAS = {"page": PAGE_SCHEMA, "message": MESSAGE_SCHEMA, "block": BLOCK_SCHEMA, "visual": VISUAL_SCHEMA}
+
+
+def layout_items(tables: dict[str, DataFrame]) -> DataFrame:
+    """Message, block and visual positions of the flat tables of layouts."""
+    path = F.col("path")
+    found = None
+    for tag in ("message", "block", "visual"):
+        rows = tables[tag].select(
+            F.col("root_id").alias("result_id"),
+            path[0].alias("page_idx"),
+            F.lit("block" if tag == "block" else "message").alias("item_kind"),
+            path[1].alias("item_idx"),
+            (path[2] if tag == "visual" else F.lit(-1)).alias("visual_idx"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import nested as N
 from quire.plans.registry import CORE
-from quire.sources.tables import once, spread, table
+from quire.session import scratch
+from quire.sources.tables import spread, table
 
 #: The same walk in SQL: unwrap strings, one page when there are none, one element for a single object.
 _WALK = """
@@ -30,12 +31,18 @@ v2 AS (SELECT * FROM v1 WHERE json_type(v) = 'OBJECT')
 """
 
 
-def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return N.emit_tagged(spread(table(spark, d, "preserve_results").select("result_id", "layout")), "result_id", "layout", N.LAYOUT)
+#: Tables of layouts by session and state of the input files, so that several queries share one walk and one write.
+_WRITTEN: dict[tuple, N.Flat] = {}
 
 
-def _tagged_once(spark: SparkSession, d: str) -> DataFrame:
-    return N.emit_tagged(once(table(spark, d, "preserve_results").select("result_id", "layout"), "result_id"), "result_id", "layout", N.LAYOUT)
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The four flat tables, from one pass over the layouts that is written by tag."""
+    rows = table(spark, d, "preserve_results")
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
+    state = (spark.sparkContext.applicationId, d, tuple(tuple(f) for f in files))
+    if state not in _WRITTEN:
+        _WRITTEN[state] = N.flatten(spread(rows.select("result_id", "layout")), "result_id", "layout", N.LAYOUT, scratch(spark, "layouts"))
+    return {tag: _WRITTEN[state].table(tag, schema) for tag, schema in N.SCHEMAS.items()}
 
 
 @CORE.add(
@@ -45,8 +52,8 @@ def _tagged_once(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT result_id, page_idx::INT, 'message', item_idx::INT, visual_idx::INT FROM v2""",
 )
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Positions of all items; repeats are merged after emission, on the narrow rows."""
-    return N.layout_items(_tagged(spark, d)).distinct()
+    """Positions of all items of the flat tables."""
+    return N.layout_items(_tables(spark, d))
 
 
 @CORE.add(
@@ -56,7 +63,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 try_cast(p->>'page_no' AS INT) AS page_no, try_cast(p->>'image_width' AS INT) AS image_width, try_cast(p->>'image_height' AS INT) AS image_height FROM p2""",
 )
 def p2_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.table_of(_tagged_once(spark, d), "page", N.PAGE_SCHEMA)
+    rows = _tables(spark, d)["page"]
     return rows.select(F.col("root_id").alias("result_id"), F.col("path")[0].alias("page_idx"), F.col("key").alias("page_key"), "parent_key", F.col("page_no").try_cast("int").alias("page_no"), "image_width", "image_height")
 
 
@@ -67,7 +74,7 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
 i->>'sender' AS sender, i->>'text' AS text FROM i2 WHERE item_kind = 'message'""",
 )
 def p2_messages(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.table_of(_tagged_once(spark, d), "message", N.MESSAGE_SCHEMA)
+    rows = _tables(spark, d)["message"]
     return rows.select(F.col("root_id").alias("result_id"), F.col("path")[0].alias("page_idx"), F.col("path")[1].alias("item_idx"), F.col("key").alias("message_key"), "parent_key", "sender", "text")
 
 
@@ -78,7 +85,7 @@ def p2_messages(spark: SparkSession, d: str) -> DataFrame:
 i->>'type' AS type, i->>'text' AS text, i->>'role' AS role, i->>'asset_type' AS asset_type, i->>'caption' AS caption FROM i2 WHERE item_kind = 'block'""",
 )
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.table_of(_tagged_once(spark, d), "block", N.BLOCK_SCHEMA)
+    rows = _tables(spark, d)["block"]
     return rows.select(F.col("root_id").alias("result_id"), F.col("path")[0].alias("page_idx"), F.col("path")[1].alias("item_idx"), F.col("key").alias("block_key"), "parent_key", "type", "text", "role", "asset_type", "caption")
 
 
@@ -89,6 +96,6 @@ def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
 result_id || '/page:' || page_idx || '/message:' || item_idx AS parent_key, v->>'type' AS type, v->>'alt' AS alt FROM v2""",
 )
 def p2_visuals(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.table_of(_tagged_once(spark, d), "visual", N.VISUAL_SCHEMA)
+    rows = _tables(spark, d)["visual"]
     path = F.col("path")
     return rows.select(F.col("root_id").alias("result_id"), path[0].alias("page_idx"), path[1].alias("item_idx"), path[2].alias("visual_idx"), F.col("key").alias("visual_key"), "parent_key", "type", "alt")

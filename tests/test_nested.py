@@ -3,13 +3,19 @@ import json
 from pyspark.sql import functions as F
 
 from quire.operators import nested as N
+from quire.session import scratch
 
 CHAT = {"pages": [{"page_no": 1, "layout": {"messages": [{"sender": "a", "text": "x", "visuals": [{"type": "image"}, None, 3]}, 7, [], {"sender": None}]}}, "blank", {"layout": json.dumps({"messages": {"text": "one"}})}]}
 
 
-def items(spark, texts, schema="id bigint, doc string"):
-    df = spark.createDataFrame(list(enumerate(texts)), schema)
-    return sorted(tuple(r) for r in N.layout_items(N.emit_tagged(df, "id", "doc", N.LAYOUT)).collect())
+def flat(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, doc string")
+    tables = N.flatten(df, "id", "doc", N.LAYOUT, scratch(spark, "layouts"))
+    return {tag: tables.table(tag, schema) for tag, schema in N.SCHEMAS.items()}
+
+
+def items(spark, texts):
+    return sorted(tuple(r) for r in N.layout_items(flat(spark, list(enumerate(texts)))).collect())
 
 
 def test_positions_count_every_element(spark):
@@ -53,3 +59,19 @@ def test_deep_and_long_records(spark):
     deep = "[" * 3000 + "]" * 3000
     long = json.dumps({"pages": [{"layout": {"messages": [{"text": "w" * 2_000_000}] * 3}}]})
     assert items(spark, [deep, long]) == [(1, 0, "message", i, -1) for i in range(3)]
+
+
+def test_encoded_any_number_of_times(spark):
+    text = json.dumps(CHAT)
+    for _ in range(7):
+        text = json.dumps(text)
+    assert items(spark, [text]) == items(spark, [json.dumps(CHAT)])
+
+
+def test_repeated_records_count_once_in_every_table(spark, monkeypatch):
+    rows = [(1, json.dumps(CHAT)), (2, json.dumps(CHAT)), (1, json.dumps(CHAT)), (1, json.dumps(CHAT)), (None, json.dumps(CHAT)), (None, json.dumps(CHAT))]
+    for most in (N.MOST_SENT, 0):  # ids sent to all tasks, and joined by shuffle
+        monkeypatch.setattr(N, "MOST_SENT", most)
+        tables = flat(spark, rows)
+        assert {t: x.count() for t, x in tables.items()} == {"page": 6, "message": 9, "block": 0, "visual": 3}
+        assert N.layout_items(tables).count() == 12
