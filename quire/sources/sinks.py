@@ -12,6 +12,12 @@ def write_json(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
 
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """A report of several sheets: one sub-folder each, readable again by name."""
+    for name, rows in sheets.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def write_csv(rows: DataFrame, folder: str) -> None:
     """All columns quoted; strings that a spreadsheet would run as formulas are guarded."""
     safe = [csv_safe(F.col(f"`{n}`")).alias(n) if t == "string" else F.col(f"`{n}`") for n, t in rows.dtypes]
