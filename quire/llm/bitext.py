@@ -598,13 +598,18 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
             pairs = [(w, p["y"], p["dice"]) for w, ps in zip(about["w"], about["partners"], strict=True) if ps is not None for p in ps]
             lexicon = Lexicon(pairs, {w: x for w, x in zip(about["w"], about["share"], strict=True) if x == x and x is not None})
         group = group.drop_duplicates("sent_id").sort_values(["idx", "sent_id"], kind="mergesort").reset_index(drop=True)
-        han = [bool(_RUN.search("".join(group.loc[group["side"] == side, "text"]))) for side in ("src", "tgt")]
-        sides = {side: [Sentence(r, group.at[r, "text"], known, lexicon, all(han)) for r in group.index[group["side"] == side]] for side in ("src", "tgt")}
+        sides: dict[str, list[int]] = {"src": [], "tgt": []}
+        columns = {c: group[c].tolist() for c in ("side", "text", "sent_id", "idx", "core", "doc_key")}
+        for r, side in enumerate(columns["side"]):
+            sides[side].append(r)
+        texts, ids, places = columns["text"], columns["sent_id"], columns["idx"]
+        han = all(any(_RUN.search(texts[r]) for r in rows) for rows in sides.values())
+        src, tgt = ([Sentence(r, texts[r], known, lexicon, han) for r in sides[side]] for side in ("src", "tgt"))
         out = []
-        for i, j, score in how(sides["src"], sides["tgt"], lexicon):
-            a, b = sides["src"][i].row, sides["tgt"][j].row
-            if group.at[a, "core"]:
-                out.append((group.at[a, "doc_key"], int(group.at[a, "sent_id"]), int(group.at[b, "sent_id"]), int(group.at[a, "idx"]), int(group.at[b, "idx"]), float(round(score, 4))))
+        for i, j, score in how(src, tgt, lexicon):
+            a, b = src[i].row, tgt[j].row
+            if columns["core"][a]:
+                out.append((columns["doc_key"][a], int(ids[a]), int(ids[b]), int(places[a]), int(places[b]), float(round(score, 4))))
         return pd.DataFrame(out, columns=["doc_key", "src_id", "tgt_id", "src_idx", "tgt_idx", "score"])
 
     def each(placed: DataFrame, how) -> DataFrame:
