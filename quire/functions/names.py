@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +46,6 @@ def cleaned(stem: Column) -> Column:
 
 def renamed(name: Column, pattern: str, replacement: str) -> Column:
     """A user's pattern with back references written as in Python; null where it doesn't match."""
-    import re
-
     java = re.sub(r"\\(\d+)|\\g<(\w+)>", lambda m: "${" + m.group(2) + "}" if m.group(2) else "$" + m.group(1), replacement.replace("$", r"\$"))
     return F.when(name.rlike(pattern), F.regexp_replace(name, pattern, java))
 
@@ -92,8 +94,10 @@ def long_date(day: Column) -> Column:
 
 
 def redacted(line: Column) -> Column:
-    """A log line without secrets: keys, bearer tokens and passwords."""
-    lean = F.regexp_replace(line, r"(?i)(bearer\s+)[A-Za-z0-9._-]{8,}", "$1***")
+    """A log line without settings, routes, models and secrets: keys, bearer tokens and passwords."""
+    lean = F.regexp_replace(line, r"\[config\]\s+.*", "[config] ***")
+    lean = F.regexp_replace(lean, r"(?i)(route=|model=)\S+", "$1***")
+    lean = F.regexp_replace(lean, r"(?i)(bearer\s+)[A-Za-z0-9._-]{8,}", "$1***")
     lean = F.regexp_replace(lean, r"(?i)((?:api[_-]?key|token|password|secret)\s*[=:]\s*)[^\s,;&\"']+", "$1***")
     return F.regexp_replace(lean, r"\bsk-[A-Za-z0-9]{8,}", "sk-***")
 
@@ -116,3 +120,117 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
     norm = l2(a) * l2(b)
     return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+
+def wanted_extensions(asked: Column, known: tuple[str, ...]) -> Column:
+    """Extensions in lower case with a dot, known ones, each once and sorted; none asked for means all."""
+    lean = F.filter(F.transform(asked, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    dotted = F.transform(lean, lambda x: F.when(x.startswith("."), x).otherwise(F.concat(F.lit("."), x)))
+    every = F.array(*(F.lit(x) for x in known))
+    return F.when(F.size(lean) == 0, every).otherwise(F.array_sort(F.array_intersect(dotted, every)))
+
+
+def _page_parts(spec: Column) -> Column:
+    lean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(spec)), "[，、]", ","), "[—–]", "-")
+    return F.filter(F.split(lean, r"[,\s]+"), lambda p: p != "")
+
+
+def page_problem(spec: Column, total: Column) -> Column:
+    """The reason of the first part of a page specification that is refused, or null; blank and ``all`` mean all pages."""
+    first = lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("bigint")
+    last = lambda p: F.coalesce(F.regexp_extract(p, r"-(\d+)$", 1).try_cast("bigint"), first(p))
+    why = F.filter(F.transform(_page_parts(spec), lambda p: F.when(~p.rlike(r"^\d+(-\d+)?$"), "unreadable").when((first(p) < 1) | (last(p) < first(p)) | (last(p) > total), "out of bounds")), lambda x: x.isNotNull())
+    return F.when(total <= 0, "no pages").when(F.lower(F.trim(spec)).isin("", "all"), F.lit(None).cast("string")).otherwise(F.coalesce(F.get(why, F.lit(0)), F.when(F.size(_page_parts(spec)) == 0, "nothing selected")))
+
+
+def page_choice(op: str, spec: Column, total: Column) -> Column:
+    """Pages, from 0, that an operation leaves: ``odd`` and ``even`` ones, those of ``spec`` (extract) or all others (delete)."""
+    every = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+    if op in ("odd", "even"):
+        return F.filter(every, lambda p: p % 2 == (0 if op == "odd" else 1))
+    return pages(spec, total) if op == "extract" else F.array_except(every, pages(spec, total))
+
+
+def saved_share(before: Column, after: Column) -> Column:
+    """What is saved of a size, in per cent with two digits, ties to even; 0 where nothing is."""
+    return F.when(before > 0, F.bround(F.greatest(before - after, F.lit(0)).cast("double") / before * 100, 2)).otherwise(0.0)
+
+
+# How files of a kind begin, in hexadecimal.
+HEADS = ((".png", "89504E470D0A1A0A"), (".jpg", "FFD8FF"), (".gif", "474946383761"), (".gif", "474946383961"), (".bmp", "424D"), (".tiff", "49492A00"), (".tiff", "4D4D002A"), (".ico", "00000100"))
+
+
+def image_kind(content: Column) -> Column:
+    """The extension that the first bytes of a file tell, or null."""
+    head = F.hex(F.substring(content, 1, 12))
+    out = None
+    for kind, start in HEADS:
+        out = F.when(head.startswith(start), kind) if out is None else out.when(head.startswith(start), kind)
+    return out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), ".webp")
+
+
+def one_name(name: Column, aliases: dict[str, str]) -> Column:
+    """A name under the spelling that stands for all of its aliases."""
+    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), F.trim(name))
+
+
+def reference_keys(ref: Column) -> Column:
+    """Forms under which an attachment may be named: decoded, without brackets, ``cid:``, folders or a leading dot."""
+    raw = F.trim(F.regexp_replace(F.trim(ref), "^['\"]+|['\"]+$", ""))
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw)
+    bare = lambda c: F.trim(F.regexp_replace(c, "^[<\\s]+|[>\\s]+$", ""))
+    forms = [f for c in (raw, decoded) for f in (c, bare(c), bare(F.regexp_replace(bare(c), "(?i)^cid:", "")), F.regexp_extract(F.regexp_replace(bare(c), r"[?#].*$", ""), r"([^/\\]*)$", 1), F.regexp_replace(bare(c), r"^[./]+", ""))]
+    return F.array_distinct(F.filter(F.transform(F.array(*forms), lambda k: F.lower(k)), lambda k: k != ""))
+
+
+def without_prefix(name: Column, *prefixes: Column) -> Column:
+    """A name without the first prefix and mark that stand before it, unless nothing is left."""
+    for p in prefixes:
+        cut = F.regexp_replace(F.substr(name, F.length(p) + 2), r"^[ _-]+", "")
+        name = F.when(p.isNotNull() & (p != "") & name.startswith(F.concat(p, F.lit("_"))) & (cut != ""), cut).otherwise(name)
+    return name
+
+
+# Names that some systems keep for devices.
+_DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))}
+
+
+def _stem(name: str | None) -> str:
+    base = (name or "file").replace("\\", "/").rsplit("/", 1)[-1]
+    dot = base.rfind(".")
+    return (base[:dot] if 0 < dot < len(base) - 1 else base).strip()
+
+
+def plain_stem(name: str | None, most: int = 40) -> str:
+    """ASCII letters and digits of a stem with ``_`` between them; ``file`` where there are none."""
+    stem = _stem(name)
+    lean = unicodedata.normalize("NFKD", stem).encode("ascii", "ignore").decode("ascii")
+    return (re.sub("[^A-Za-z0-9]+", "_", lean).strip("_").lower() or "file")[:most]
+
+
+def shown_stem(name: str | None, most: int = 80) -> str:
+    """A stem that every file system takes: compatible forms, no illegal signs, blanks and ``_`` squeezed, no device name."""
+    lean = unicodedata.normalize("NFKC", _stem(name) or "file")
+    for pattern, by in ((r'[\x00-\x1f<>:"/\\|?*]+', "_"), (r"\s+", " "), ("_+", "_")):
+        lean = re.sub(pattern, by, lean)
+    lean = lean.strip(" ._") or "file"
+    if lean.upper() in _DEVICES:
+        lean += "_file"
+    return (lean[:most].rstrip(" ._") if len(lean) > most else lean) or "file"
+
+
+def _as_udf(how):
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: how(None if n is None or n != n else n))
+
+    return run.asNondeterministic()
+
+
+def ascii_stem(name: Column) -> Column:
+    return _as_udf(plain_stem)(name)
+
+
+def visible_stem(name: Column) -> Column:
+    return _as_udf(shown_stem)(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +134,45 @@ def compile_variants(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """Rules of one direction: a key with one target is a rule, with several it is ambiguous."""
     rows = pairs.select(F.lower(F.trim(source)).alias("key"), F.trim(target).alias("target")).filter((F.col("key") != "") & (F.col("target") != "") & (F.col("key") != F.lower("target")))
     return rows.groupBy("key").agg(F.array_sort(F.collect_set("target")).alias("targets")).select("key", F.element_at("targets", 1).alias("target"), (F.size("targets") > 1).alias("ambiguous"), F.array_join("targets", "|").alias("candidates"))
+
+
+def paired_sheets(sheets: DataFrame, key: str) -> DataFrame:
+    """Pairs of sheets of two sides: by name where any name is on both, else by their order (``first``)."""
+    src, tgt = (sheets.filter(F.col("side") == s).select(key, F.col("name").alias(f"{s}_sheet"), F.col("first").alias(f"{s}_first")) for s in ("src", "tgt"))
+    common = src.join(tgt.withColumn("src_sheet", F.col("tgt_sheet")), [key, "src_sheet"])
+    placed = lambda rows, s: rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(f"{s}_first")))
+    zipped = placed(src, "src").join(placed(tgt, "tgt"), [key, "k"]).join(common.select(key).distinct(), key, "left_anti")
+    columns = [key, "src_sheet", "tgt_sheet"]
+    return common.select(*columns, F.lit(True).alias("by_name")).unionByName(zipped.select(*columns, F.lit(False).alias("by_name")))
+
+
+def free_names(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
+    """Names that differ from all others of their group: a repeat gets the next free ``_2``, ``_3`` … before its extension.
+
+    Whether a made name is free hangs on what came before, so the names that may meet are folded together: those whose
+    stem without its number and whose extension are the same. Other names can't clash, so a group is cut by them.
+    """
+    low = F.lower(F.col(name))
+    root = F.regexp_replace(low, r"(?:_\d+)+(?=(?:\.[a-z0-9]{1,8})?$)", "")
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        last: dict[str, int] = {}
+        out = []
+        for n in (g := g.sort_values(order))[name]:
+            stem, dot, ext = n.rpartition(".")
+            if not stem or not 0 < len(ext) <= 8 or not ext.isalnum():
+                stem, dot, ext = n, "", ""
+            made, i = n, last.get(n.lower(), 2)
+            while made.lower() in used:
+                made = f"{stem}_{i}{dot}{ext}"
+                i += 1
+            last[n.lower()] = i
+            used.add(made.lower())
+            out.append(made)
+        g[name] = out
+        return g[[order, group, name]]
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (order, group, name))
+    return rows.select(order, group, name, root.alias("root")).groupBy(group, "root").applyInPandas(fold, schema)

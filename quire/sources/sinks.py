@@ -33,3 +33,12 @@ def srt_blocks(segments: DataFrame) -> DataFrame:
     """Subtitle blocks of ``task_id, segment_no, start, stop, text``; text for a text sink."""
     block = F.concat_ws("\n", F.col("segment_no").cast("string"), F.concat(srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("stop"))), "text", F.lit(""))
     return segments.select("task_id", "segment_no", block.alias("value"))
+
+
+def transcript_lines(segments: DataFrame) -> DataFrame:
+    """Segments of ``task_id, segment_no, start, stop, text`` in the four forms of export; a VTT file begins with ``WEBVTT``."""
+    span = lambda mark: F.concat(srt_time(F.col("start"), mark), F.lit(" --> "), srt_time(F.col("stop"), mark))
+    srt = F.concat_ws("\n", F.col("segment_no").cast("string"), span(","), "text", F.lit(""))
+    vtt = F.concat_ws("\n", span("."), "text", F.lit(""))
+    tsv = F.concat_ws("\t", *(F.bround(F.col(c) * 1000, 0).cast("bigint").cast("string") for c in ("start", "stop")), F.regexp_replace("text", r"[\t\r\n]+", " "))
+    return segments.select("task_id", "channel_id", "block", "segment_no", srt.alias("srt"), vtt.alias("vtt"), F.col("text").alias("txt"), tsv.alias("tsv"))
