@@ -36,6 +36,8 @@ STEP, SHARE = 0.005, 0.5
 LONGER = 0.01
 #: Lengths offered to a column; the longest are always among them.
 OFFERED = 110
+#: The program is solved again for the items that its rounding left while a round places this part of them.
+RESIDUAL = 0.3
 #: Items per bucket that a rank is counted in.
 BUCKET_ITEMS = 100_000
 #: Capacity targets are a bounded list.
@@ -128,10 +130,16 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     chosen: list[tuple[np.ndarray, int]] = []
     if not len(sizes) or not left.sum():
         return chosen
-    columns, gap = fractional(sizes, total, capacity)
-    chosen = rounded(columns, sizes, total)
-    for column, times in chosen:
-        left -= column * times
+    gap, before = None, float("inf")
+    while left.sum() and before - left.sum() >= RESIDUAL * before:  # the program again for what its rounding left
+        before, open_ = left.sum(), left > 0
+        columns, excess = fractional(sizes[open_], left[open_], capacity)
+        gap = excess if gap is None else gap
+        for part, times in rounded(columns, sizes[open_], left[open_]):
+            column = np.zeros_like(left)
+            column[open_] = part
+            chosen.append((column, times))
+            left = left - column * times
     log.info("capacity %d: program %.2f %% above total size / capacity, its rounding places %d of %d items", capacity, 100 * gap, int((total - left).sum()), int(total.sum()))
     while left.sum():
         active = np.flatnonzero(left)
@@ -152,6 +160,16 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     return chosen
 
 
+def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Upper lengths of the classes, their items, and the patterns that hold them."""
+    bounds = classes(list(histogram), capacity)
+    counts = np.zeros(len(bounds), dtype=np.int64)
+    for size, n in histogram.items():
+        counts[np.searchsorted(bounds, size)] += n
+    bounds, counts = bounds[counts > 0], counts[counts > 0]
+    return bounds, counts, configurations(bounds, counts, capacity)
+
+
 def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     bins: list[list] = []
     for i in np.argsort(-sizes, kind="stable"):
@@ -197,24 +215,27 @@ def pack(items: DataFrame, targets: DataFrame) -> DataFrame:
     rest = F.col("tokens") % F.col("capacity")
     sized = all_rows.withColumn("rest", rest).withColumn("whole", F.floor(F.col("tokens") / F.col("capacity")).cast("int"))
 
-    histogram: dict[str, dict[int, int]] = {n: {} for n, _ in goals}
-    for r in sized.filter("rest > 0").groupBy("target_name", "rest").agg(F.count("*").alias("n")).collect():  # at most the sum of capacities
-        histogram[r["target_name"]][r["rest"]] = r["n"]
-    plans = {}
-    for name, capacity in goals:
-        bounds = classes(list(histogram[name]), capacity)
-        counts = np.zeros(len(bounds), dtype=np.int64)
-        for size, n in histogram[name].items():
-            counts[np.searchsorted(bounds, size)] += n
-        bounds, counts = bounds[counts > 0], counts[counts > 0]
-        runs: dict[int, list] = {i: [] for i in range(len(bounds))}
-        next_rank, container = np.zeros(len(bounds), dtype=np.int64), 0
-        for column, times in configurations(bounds, counts, capacity):
+    def solve(key, lengths: pd.DataFrame) -> pd.DataFrame:
+        """The plan of one target: per class its upper length and, in order of ranks, how many items which container takes."""
+        name = key[0]
+        bounds, counts, columns = plan(dict(zip(lengths["rest"].tolist(), lengths["n"].tolist(), strict=True)), capacities[name])
+        next_rank, container, out = np.zeros(len(bounds), dtype=np.int64), 0, []
+        for column, times in columns:
             for i in np.flatnonzero(column):
-                runs[int(i)].append((int(next_rank[i]), int(column[i]), container))
+                out.append((name, int(i), int(bounds[i]), int(next_rank[i]), int(column[i]), container))
                 next_rank[i] += int(column[i]) * times
             container += times
-        plans[name] = (bounds.tolist(), {i: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for i, r in runs.items() if r})
+        return pd.DataFrame(out, columns=["target_name", "cls", "bound", "start", "each", "first"])
+
+    # one task per target; what comes back is bounded by the capacities, as is the histogram
+    capacities = dict(goals)
+    histogram = sized.filter("rest > 0").groupBy("target_name", "rest").agg(F.count("*").alias("n")).repartition(16 * len(goals), "target_name")
+    solved: dict[str, dict[int, list]] = {n: {} for n, _ in goals}
+    bounds_of: dict[str, dict[int, int]] = {n: {} for n, _ in goals}
+    for r in histogram.groupBy("target_name").applyInPandas(solve, "target_name string, cls int, bound bigint, start bigint, each bigint, first bigint").collect():
+        bounds_of[r["target_name"]][r["cls"]] = r["bound"]
+        solved[r["target_name"]].setdefault(r["cls"], []).append((r["start"], r["each"], r["first"]))
+    plans = {n: ([bounds_of[n][i] for i in sorted(bounds_of[n])], {i: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(runs), strict=True)) for i, runs in solved[n].items()}) for n, _ in goals}
     sent = spark.sparkContext.broadcast(plans)
 
     @F.pandas_udf("int")

@@ -48,6 +48,22 @@ def test_the_program_covers_every_length_and_its_rounding_packs_most_items():
     assert (placed <= counts).all() and placed.sum() > 0.5 * counts.sum()
 
 
+def test_the_program_places_nine_tenths_of_the_size():
+    rng = random.Random(9)
+    for capacity, mean in ((512, 90), (2048, 300), (8192, 300)):
+        hist = Counter(min(capacity - 1, 1 + int(rng.expovariate(1 / mean))) for _ in range(6000))
+        sizes = np.array(sorted(hist))
+        counts = np.array([hist[s] for s in sizes])
+        left, before = counts.copy(), float("inf")
+        while left.sum() and before - left.sum() >= P.RESIDUAL * before:
+            before, some = left.sum(), left > 0
+            columns, _ = P.fractional(sizes[some], left[some], capacity)
+            left[some] -= sum((c * n for c, n in P.rounded(columns, sizes[some], left[some])), np.zeros(some.sum(), dtype=np.int64))
+        assert (left >= 0).all() and left @ sizes <= 0.1 * (counts @ sizes)
+        found = P.configurations(sizes, counts, capacity)
+        assert (sum(c * t for c, t in found) == counts).all() and sum(t for _, t in found) <= 1.01 * (sizes @ counts / capacity) + 2
+
+
 def test_pack(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([0, None, 7, 9, 33, 50, 64, 99, 100, 101, 250, 300])) for i in range(400)] + [(1000 + i, 7) for i in range(200)]
