@@ -79,6 +79,28 @@ def sessions(rows: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
     return joined.select(key, "start", "stop", "n").unionByName(runs.filter("NOT edge").select(key, "start", "stop", "n"))
 
 
+def silence_islands(rows: DataFrame, key: str, at: str, seconds: float, bucket: float = 600.0) -> DataFrame:
+    """Rows with their ``island``: the start, in milliseconds, of the stretch without a gap of ``seconds`` that they lie in.
+
+    Stretches are found inside buckets of time; the first one of a bucket goes on from the bucket before it, so a key meets
+    in one task with a row or two a bucket only.
+    """
+    placed = rows.withColumn("_b", F.floor(F.col(at) / bucket))
+    order = Window.partitionBy(key, "_b").orderBy(at)
+    begins = F.when(F.coalesce(F.col(at) - F.lag(at).over(order) < seconds, F.lit(False)), F.lit(None)).otherwise(F.col(at))
+    inside = placed.withColumn("_s", F.last(begins, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = inside.groupBy(key, "_b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("_s").alias("open"))
+    by_bucket = Window.partitionBy(key).orderBy("_b")
+    goes_on = F.coalesce(F.col("first") - F.lag("last").over(by_bucket) < seconds, F.lit(False))
+    # a bucket's open stretch begins in it, unless all of the bucket is one stretch that goes on from before
+    anchor = F.when(~F.col("goes_on") | (F.col("open") != F.col("first")), F.col("open"))
+    ends = ends.withColumn("goes_on", goes_on).withColumn("_a", anchor)
+    ends = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), "first", "goes_on", F.last("_a", ignorenulls=True).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
+    joined = inside.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
+    start = F.when(F.col("goes_on") & (F.col("_s") == F.col("first")), F.col("_from")).otherwise(F.col("_s"))
+    return joined.withColumn("island", F.bround(start * 1000, 0).cast("bigint")).drop("_b", "_s", "_k", "_c", "_from", "first", "goes_on")
+
+
 def running_rank(rows: DataFrame, at: str, out: str) -> DataFrame:
     """How many rows have an earlier time, ties sharing: counts per day, then ranks inside the day."""
     day = F.date_trunc("day", F.col(at).cast("timestamp"))

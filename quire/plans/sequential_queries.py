@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import language_parts as L
 from quire.functions import measure as M
-from quire.operators import nested as N
 from quire.operators import sequential as S
+from quire.plans.nested_queries import _tables
 from quire.plans.registry import CORE
 from quire.sources import files
 from quire.sources.sinks import srt_blocks as blocks
@@ -81,8 +81,7 @@ def coverage_check(spark: SparkSession, d: str) -> DataFrame:
 @CORE.add("box_nms")
 def box_nms(spark: SparkSession, d: str) -> DataFrame:
     """Message boxes of a page that no larger one overlaps; boxes without area can't stand."""
-    tagged = N.emit_tagged(once(table(spark, d, "preserve_results").select("result_id", "layout", "loaded_at"), "result_id"), "result_id", "layout", N.LAYOUT)
-    rows = N.table_of(tagged, "message", N.MESSAGE_SCHEMA).filter(F.size("message_bbox") == 4)
+    rows = _tables(spark, d)["message"].filter(F.size("message_bbox") == 4)
     b = F.col("message_bbox")
     box = F.struct(((b[2] - b[0]) * (b[3] - b[1])).cast("double").alias("score"), b[0].alias("x1"), b[1].alias("y1"), b[2].alias("x2"), b[3].alias("y2"))
     pages = rows.withColumn("box", box).filter("box.x2 > box.x1 AND box.y2 > box.y1").groupBy("root_id", F.col("path")[0].alias("page_idx")).agg(F.collect_list("box").alias("boxes"))
@@ -126,14 +125,16 @@ def language_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("variant_convert")
 def variant_convert(spark: SparkSession, d: str) -> DataFrame:
-    """English texts with a bounded dictionary of variants applied; counts of replacements and open cases."""
+    """Texts with a bounded dictionary of variants applied; counts of replacements and open cases."""
     rules, ambiguous = dict(VARIANTS), {"license", "practice"}
+    pattern = S.variant_pattern(rules, ambiguous)
 
     @F.pandas_udf("struct<text:string,replaced:int,ambiguous:int>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, 0, 0) if t is None else S.convert_variants(t, rules, ambiguous) for t in texts], columns=["text", "replaced", "ambiguous"])
+        return pd.DataFrame([(None, 0, 0) if t is None else S.convert_variants(t, rules, ambiguous, pattern) for t in texts], columns=["text", "replaced", "ambiguous"])
 
-    rows = spread(table(spark, d, "documents").filter(F.col("lang") == "en").select("doc_id", "text")).select("doc_id", run("text").alias("c"))
+    # texts without Latin letters can't hold a variant; declared languages may be wrong or null, so they don't decide
+    rows = spread(table(spark, d, "documents").filter(F.col("text").rlike("[A-Za-z]")).select("doc_id", "text")).select("doc_id", run.asNondeterministic()("text").alias("c"))
     return rows.select("doc_id", "c.text", "c.replaced", "c.ambiguous")
 
 

@@ -54,10 +54,12 @@ def test_consume():
     assert S.consume([(1, "A", "B"), (2, "A", "B")], "A", "B") == [(1, "accepted"), (2, "already_consumed")]
 
 
-def test_chunks_hold_everything():
-    text = "para one\n\n" + "x" * 95 + "\n\npara three<page_break/>page two"
-    chunks = S.chunk_spans(text, 40)
-    assert all(len(c) <= 40 for c in chunks) and "".join("".join(chunks).split()) == "".join(text.replace("<page_break/>", "").split())
+def test_chunks_keep_page_marks_and_paragraphs():
+    text = "para one\n\n" + "x" * 95 + "\n\npara three<page_break/>page two<page_break/> <page_break/>p3"
+    assert S.chunk_spans(text, 40) == ["para one", "x" * 95, "para three\n\n<page_break/>\n\npage two", "p3"]
+    assert S.chunk_spans("a" * 30 + "<page_break/>" + "b" * 30, 80) == ["a" * 30 + "\n\n<page_break/>\n\n" + "b" * 30]
+    assert S.chunk_spans("a" * 30 + "<page_break/>" + "b" * 30, 79) == ["a" * 30, "b" * 30]
+    assert S.chunk_spans("", 10) == [""] and S.chunk_spans(" ", 10) == [" "]
 
 
 def test_pack_sentences(spark):
@@ -66,14 +68,118 @@ def test_pack_sentences(spark):
     assert [r["group_no"] for r in got] == [0, 0, 0, 1, 2, 2]
 
 
+def test_segments():
+    w = lambda *rows: [(a, b, t, 0) for a, b, t in rows]
+    assert [x[:3] for x in S.segments(w((0.12, 0.5, "你好，"), (0.6, 1.56, "世界。"), (2.0, 2.2, "x")))] == [[0.12, 1.56, "你好，世界。"], [2.0, 2.2, "x"]]
+    long_ = S.segments([(i * 0.3, i * 0.3 + 0.3, "字", 0) for i in range(60)])
+    assert len(long_) >= 2 and all(b - a <= 6.3 for a, b, *_ in long_) and sum(x[3] for x in long_) == 60
+    # full without an end mark: back to the last soft mark that leaves 1.2 seconds
+    soft = S.segments([(i * 0.5, i * 0.5 + 0.5, "ab," if i == 4 else "ab", 0) for i in range(12)])
+    assert soft[0][2].endswith("ab,") and soft[0][1] == 2.5
+    # a pause of 0.35 s ends a segment of 1.4 s and 10 units, not a shorter one
+    paused = w((0, 0.8, "abcdef"), (0.8, 1.5, "ghijkl"), (1.9, 3.2, "mnopqr stuvw"))
+    assert [x[2] for x in S.segments(paused)] == ["abcdef ghijkl", "mnopqr stuvw"]
+    assert len(S.segments(w((0, 0.5, "abcdef"), (0.5, 1.0, "ghijkl"), (1.4, 2.7, "mnopqr stuvw")))) == 1
+    # a short one joins the one before it, none begins before that has ended, another channel ends one
+    assert [x[2] for x in S.segments([(0, 1.5, "one two three", 0), (1.6, 1.9, "b", 1)])] == ["one two three b"]
+    assert [x[:2] for x in S.segments([(0, 2.0, "Yes.", 0), (1.5, 3.5, "no", 1)])] == [[0, 2.0], [2.0, 3.5]]
+    assert S.segments([]) == []
+
+
 def test_subtitles(spark):
     words = [("t", 0, i, i * 0.3, i * 0.3 + 0.25, w) for i, w in enumerate("你 好 ， we met today . And then we went on and on and on until the very end of the day".split())]
-    words.append(("t", 0, 99, 30.0, 20.0, "late"))
+    words += [("t", 0, 99, 30.0, 20.0, "late"), (None, 0, 100, 1.0, 2.0, "nowhere"), ("t", None, 101, 31.0, None, " ")]
     got = S.subtitles(spark.createDataFrame(words, "task_id string, channel_id int, word_id int, word_start double, word_end double, word string")).orderBy("start").collect()
     assert all(r["stop"] > r["start"] and r["stop"] - r["start"] <= 6.3 for r in got)
     assert all(a["stop"] <= b["start"] for a, b in zip(got, got[1:], strict=False))
-    assert sum(r["words"] for r in got) == len(words)
-    assert "00:00:00,000 --> " in sinks.srt_blocks(spark.createDataFrame(got)).orderBy("segment_no").first()["value"]
+    assert sum(r["words"] for r in got) == len(words) - 2 and {r["block"] for r in got} == {0, 30000}
+    frame = spark.createDataFrame(got)
+    assert "00:00:00,000 --> " in sinks.srt_blocks(frame).orderBy("block", "segment_no").first()["value"]
+    line = sinks.transcript_lines(frame).orderBy("block", "segment_no").first()
+    assert line["vtt"].startswith("00:00:00.000 --> ") and line["tsv"].split("\t")[0] == "0" and line["srt"].startswith("1\n")
+
+
+def test_silence_islands_equal_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, no = [], 0
+    for key in ("a", "b"):
+        at = 0.0
+        for _ in range(300):
+            at += rng.choice([0.5, 3.0, 5.9, 6.0, 40.0, 900.0] if rng.random() < 0.2 else [0.5, 3.0])
+            rows.append((no := no + 1, key, round(at, 1)))
+    wanted = {}
+    for key in ("a", "b"):
+        start = last = None
+        for i, _, at in sorted((r for r in rows if r[1] == key), key=lambda r: r[2]):
+            start = at if last is None or not at - last < 6.0 else start
+            last = at
+            wanted[i] = round(start * 1000)
+    df = spark.createDataFrame(rows, "id int, k string, at double")
+    for bucket in (10.0, 100.0, 600.0):
+        assert {r["id"]: r["island"] for r in R.silence_islands(df, "k", "at", 6.0, bucket).collect()} == wanted
+
+
+def test_weak_windows_are_cut_after_the_link_that_fills_them(spark):
+    schema = "doc_key string, link_id int, src_start int, src_end int, tgt_start int, tgt_end int, score double, low_confidence boolean"
+    links = [("d", i, i, i + (i != 2), i, i + 1, 0.1 if i != 9 else 0.9, i != 9) for i in range(12)] + [("d", 50, 50, 60, 50, 60, 0.1, True)]
+    got = S.weak_windows(spark.createDataFrame(links, schema)).orderBy("src_start").collect()
+    assert [(r["src_start"], r["links"], r["units"]) for r in got] == [(0, 6, 12), (6, 3, 6), (10, 3, 24)]
+
+
+def test_vector_alignment_scores_and_ends():
+    v = np.stack([S.hashed_vector(t) for t in ("one 1 alpha", "two 2 beta", "three 3 gamma")])
+    assert S.vector_alignment(v, v[:0]) == [(i, i + 1, 0, 0, 0.0, True) for i in range(3)]
+    assert S.vector_alignment(v[:0], v) == [(0, 0, j, j + 1, 0.0, True) for j in range(3)]
+    assert S.vector_alignment(v[:0], v[:0]) == []
+    found = S.vector_alignment(v, np.delete(v, 1, axis=0))
+    assert [x[:4] for x in found] == [(0, 1, 0, 1), (1, 2, 1, 1), (2, 3, 1, 2)] and found[1][4] == 0.0 and abs(found[0][4] - 1.02) < 1e-6
+    two = np.stack([v[0], (v[1] + v[2]) / np.linalg.norm(v[1] + v[2])])
+    merged = S.vector_alignment(v, two)
+    assert merged[1][:4] == (1, 3, 1, 2) and abs(merged[1][4] - 1.0) < 1e-6
+    # one row against many: the band can't reach the end, the rest is skipped row by row
+    far = S.vector_alignment(v[:1], np.stack([S.hashed_vector(f"row {i}") for i in range(100)]))
+    assert far[-1] == (1, 1, 99, 100, 0.0, True) and sorted(j for _, _, j, e, *_ in far for j in range(j, e)) == list(range(100))
+
+
+def full_alignment(a, b):
+    """The same steps over all cells, one by one."""
+    m, n = len(a), len(b)
+    band = max(8, int(0.12 * max(m, n)))
+    best, how = {(0, 0): 0.0}, {}
+    for i in range(m + 1):
+        for j in range(max(0, round(i * n / m) - band), min(n, round(i * n / m) + band) + 1):
+            if i == j == 0:
+                continue
+            top, way = -np.inf, None
+            for di, dj, factor in ((1, 1, 1.0), (1, 2, 0.98), (2, 1, 0.98), (1, 0, None), (0, 1, None)):
+                if (p := best.get((i - di, j - dj))) is None:
+                    continue
+                like = 0.0
+                if factor:
+                    x, y = a[i - di : i].mean(axis=0), b[j - dj : j].mean(axis=0)
+                    like = float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) + (0.02 if di == dj else 0.0)
+                value = p + (like * factor if factor else -0.12)
+                if value > top + 1e-12:
+                    top, way = value, (di, dj)
+            if way:
+                best[(i, j)], how[(i, j)] = top, way
+    out, i, j = [], m, n
+    while i or j:
+        di, dj = how[(i, j)]
+        out.append((i - di, i, j - dj, j))
+        i, j = i - di, j - dj
+    return out[::-1]
+
+
+def test_vector_alignment_equals_all_cells():
+    rng = np.random.default_rng(4)
+    for m, n in ((5, 6), (12, 9), (30, 33)):
+        a = rng.normal(size=(m, 16))
+        b = np.concatenate([a, rng.normal(size=(max(0, n - m), 16))])[:n] + 0.3 * rng.normal(size=(n, 16))
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+        assert [x[:4] for x in S.vector_alignment(a, b)] == full_alignment(a, b)
 
 
 def test_vector_alignment_prefers_the_diagonal():
@@ -87,6 +193,9 @@ def test_nms(spark):
     boxes = [(9.0, 0.0, 0.0, 10.0, 10.0), (8.0, 1.0, 1.0, 11.0, 11.0), (7.0, 20.0, 20.0, 30.0, 30.0)]
     df = spark.createDataFrame([(boxes,), ([],)], "b array<struct<score:double,x1:double,y1:double,x2:double,y2:double>>")
     assert [[b["score"] for b in r[0]] for r in df.select(S.nms(F.col("b"))).collect()] == [[9.0, 7.0], []]
+    beside = [(9.0, 0.0, 0.0, 10.0, 10.0), (8.0, 0.0, 10.0, 30.0, 14.0), (7.0, 6.0, 12.0, 9.0, 15.0)]  # the second's centre is near by its length
+    df = spark.createDataFrame([(beside,)], "b array<struct<score:double,x1:double,y1:double,x2:double,y2:double>>")
+    assert [[b["score"] for b in r[0]] for r in df.select(S.nms(F.col("b"))).collect()] == [[9.0, 7.0]]
 
 
 def docx(paragraphs, rows=()):
