@@ -131,10 +131,18 @@ def xlsx_cells(content: bytes) -> Iterator[tuple[str, str, str, bool, int]]:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        titles = [s.get("name") for s in book.iter() if _local(s.tag) == "sheet"]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        targets = {}
+        if (rels := "xl/_rels/workbook.xml.rels") in names:
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read(rels))}
+        numbered = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
         at = 0
-        for title, part in zip(titles, sheets, strict=False):
+        for no, sheet in enumerate(s for s in book.iter() if _local(s.tag) == "sheet"):
+            # a sheet's part is named by the workbook's relations; only books without them go by number
+            target = targets.get(next((v for k, v in sheet.items() if _local(k) == "id"), None))
+            part = (target.lstrip("/") if target.startswith("/") else f"xl/{target}") if target else numbered[no] if no < len(numbered) else ""
+            if part not in names:
+                continue
+            title = sheet.get("name")
             for c in ElementTree.fromstring(z.read(part)).iter():
                 if _local(c.tag) != "c":
                     continue
@@ -205,41 +213,80 @@ def read_items(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- markup --------------------------------------------------------------------------------------------
 
-_SKIP = {"script", "style", "head", "template", "noscript"}
+_SKIP = {"script", "style", "head", "title", "template", "noscript"}
+#: Tags that stand for an end of the head, which may be left out.
+_BODY = {"body", "main", "a", "b", "i", "em", "strong", "span", "img", "br"}
 _BLOCK = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "header", "footer", "figure", "form", "hr"}
 
 
-class _Text(HTMLParser):
+def _closed(markup: str) -> str:
+    """Markup without the start of a style or script that never ends; else all that follows would belong to it."""
+    for name in ("style", "script"):
+        opens = list(re.finditer(rf"(?i)<{name}\b[^>]*>", markup))
+        if opens and not re.search(rf"(?i)</{name}\s*>", markup[opens[-1].end() :]):
+            rest = markup[opens[-1].end() :]
+            markup = markup[: opens[-1].start()] + (rest[rest.index("<") :] if "<" in rest else "")
+    return markup
+
+
+class _Skipping(HTMLParser):
+    """Knows whether it is inside elements that are left out."""
+
+    left_out = frozenset(_SKIP)
+
+    def __init__(self, **how) -> None:
+        super().__init__(**how)
+        self.out: list[str] = []
+        self.open: list[str] = []
+
+    def enter(self, tag: str) -> bool:
+        """Whether a start tag is to be passed over."""
+        if self.open and self.open[-1] == "head" and (tag in _BLOCK or tag in _BODY):
+            self.open.pop()
+        if tag in self.left_out:
+            self.open.append(tag)
+        return bool(self.open)
+
+    def leave(self, tag: str) -> bool:
+        """Whether an end tag is to be passed over."""
+        inside = bool(self.open) or tag in self.left_out
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+        return inside
+
+
+class _Text(_Skipping):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        elif tag == "br" or tag in _BLOCK:
+        if self.enter(tag):
+            return
+        if tag == "br" or tag in _BLOCK:
             self.out.append("\n")
         elif tag in ("td", "th"):
             self.out.append("\t")
         elif tag == "page_break":
             self.out.append("\f")
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCK:
+        if not self.leave(tag) and tag in _BLOCK:
             self.out.append("\n")
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.open:
             self.out.append(data)
 
 
 def html_to_text(markup: str) -> str:
     """Visible text: blocks and line breaks as lines, cells after tabs, blanks squeezed, page breaks kept as form feeds."""
     parser = _Text()
-    parser.feed(markup)
+    parser.feed(_closed(markup))
     parser.close()
     text = re.sub(r"[^\S\n\t\f]+", " ", "".join(parser.out))
     text = re.sub(r" ?([\n\f]) ?", r"\1", text)
@@ -248,59 +295,83 @@ def html_to_text(markup: str) -> str:
 
 # What stays of foreign markup.
 SAFE_TAGS = frozenset("a b blockquote br code div em h1 h2 h3 h4 h5 h6 hr i img li ol p pre span strong sub sup table tbody td th thead tr u ul".split())
-SAFE_ATTRIBUTES = frozenset("alt class colspan height href rowspan src title width".split())
-SAFE_SCHEMES = ("http:", "https:", "mailto:", "cid:", "data:image/")
+SAFE_ATTRIBUTES = frozenset("alt class colspan height href rowspan src style title width".split())
+SAFE_LINKS = ("", "http", "https", "mailto", "tel")
+#: Pictures come from the message itself; any other would tell its sender that it is read.
+SAFE_PICTURES = ("cid", "data")
+#: Elements that go with all they hold, and those of them that hold nothing.
+DANGEROUS = frozenset("script iframe frameset object applet form button textarea select option video audio canvas svg math foreignobject".split())
+EMPTY_DANGEROUS = frozenset("frame embed input source track base link meta".split())
+_IMPORT = re.compile(r"""(?i)@import\s+(?:url\([^)]*\)|'[^']*'|"[^"]*")[^;]*;?""")
+_ACTIVE = re.compile(r"(?i)(?:expression\s*\(|(?:java|vb)script\s*:|behavior\s*:|-moz-binding\s*:)")
+_URL = re.compile(r"""(?is)url\(\s*(['"]?)(.*?)\1\s*\)""")
+
+
+def safe_style(css: str) -> str:
+    """A style without imports, code and foreign resources."""
+    return _URL.sub("none", _ACTIVE.sub("blocked(", _IMPORT.sub("", css)))
+
+
+def scheme_of(link: str) -> str:
+    """The scheme of a link as a browser sees it: without the blanks and control characters that may hide it."""
+    lean = re.sub(r"[\s\x00-\x1f]", "", link).lower()
+    m = re.match(r"([a-z][a-z0-9+.-]*):", lean)
+    return "//" if lean.startswith("//") else m.group(1) if m else ""
+
 
+def _quoted(value: str) -> str:
+    return value.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
+
+
+class _Safe(_Skipping):
+    left_out = frozenset(_SKIP) | DANGEROUS
 
-class _Safe(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.skip = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        if self.skip or tag not in SAFE_TAGS:
+        if tag in EMPTY_DANGEROUS or self.enter(tag) or tag not in SAFE_TAGS:
+            return
+        named = {n: v or "" for n, v in attrs}
+        if tag == "img" and scheme_of(named.get("src", "")) not in SAFE_PICTURES:
+            source, text = named.get("src", ""), named.get("alt", "")
+            linked = scheme_of(source) in ("http", "https")  # a link tells nobody anything until it is followed
+            self.out.append(f'<a href="{_quoted(source)}">{_quoted(text or source)}</a>' if linked else _quoted(text))
             return
         kept = []
-        for name, value in attrs:
-            value = value or ""
-            if name not in SAFE_ATTRIBUTES or name.startswith("on"):
-                continue
-            if name in ("href", "src") and ":" in value.split("/")[0] and not re.sub(r"[\s\x00-\x1f]", "", value.lower()).startswith(SAFE_SCHEMES):
+        for name, value in named.items():
+            if name not in SAFE_ATTRIBUTES or name == "href" and scheme_of(value) not in SAFE_LINKS:
                 continue
-            kept.append(f' {name}="{value.replace("&", "&amp;").replace(chr(34), "&quot;").replace("<", "&lt;")}"')
+            kept.append(f' {name}="{_quoted(safe_style(value) if name == "style" else value)}"')
         self.out.append(f"<{tag}{''.join(kept)}>")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
+        if self.open and self.open[-1] == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip and tag in SAFE_TAGS and tag not in ("br", "hr", "img"):
+        if not self.leave(tag) and tag in SAFE_TAGS and tag not in ("br", "hr", "img"):
             self.out.append(f"</{tag}>")
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.open:
             self.out.append(data.replace("<", "&lt;").replace(">", "&gt;"))
 
     def handle_entityref(self, name):
-        if not self.skip:
+        if not self.open:
             self.out.append(f"&{name};")
 
     def handle_charref(self, name):
-        if not self.skip:
+        if not self.open:
             self.out.append(f"&#{name};")
 
 
 def sanitized(markup: str) -> str:
-    """Markup with listed tags, attributes and link schemes only; scripts and styles go with their content."""
+    """Markup with listed tags, attributes and link schemes only. Scripts, frames, forms and the like go with their content;
+    pictures from elsewhere become links with their text; styles keep no imports, code or resources."""
     parser = _Safe()
-    parser.feed(markup)
+    parser.feed(_closed(markup))
     parser.close()
     return "".join(parser.out)
 

@@ -220,6 +220,18 @@ def xlsx():
     return out.getvalue()
 
 
+def test_sheets_follow_the_relations_of_the_workbook():
+    m, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cell = lambda t: f'<worksheet {m}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{t}</t></is></c></row></sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {m} {r}><sheets><sheet name="First" sheetId="2" r:id="rId9"/><sheet name="Second" sheetId="1" r:id="rId4"/><sheet name="Gone" r:id="rId5"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId4" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="rId5" Target="worksheets/sheet7.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", cell("one"))
+        z.writestr("xl/worksheets/sheet2.xml", cell("two"))
+    assert [(label, text) for _, label, text, *_ in files.xlsx_cells(out.getvalue())] == [("First!A1", "two"), ("Second!A1", "one")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.docx").write_bytes(docx(["one", " ", "two"], [["c1", "c2"]]))
@@ -244,7 +256,13 @@ def test_readers(spark, tmp_path):
 
 def test_markup():
     assert files.html_to_text("<head><title>x</title></head><h1>T</h1><p>a &amp; b</p><table><tr><td>1</td><td>2</td></tr></table><script>no</script>") == "T\n\na & b\n\n\t1\t2"
-    assert files.sanitized('<p onclick="x" class="c">a<script>bad()</script><a href="java\nscript:x">l</a><img src="https://e.example/i.png"></p>') == '<p class="c">a<a>l</a><img src="https://e.example/i.png"></p>'
+    assert files.sanitized('<p onclick="x" class="c">a<script>bad()</script><a href="java\nscript:x">l</a><img src="https://e.example/i.png"></p>') == '<p class="c">a<a>l</a><a href="https://e.example/i.png">https://e.example/i.png</a></p>'
+    assert files.html_to_text("<head><title>t</title><body><p>rest</p>") == "rest" and files.html_to_text("a<style>p {x}<p>b</p>") == "a\nb"
+    assert files.html_to_text("<template/><p>x</p>") == "x" and files.html_to_text("<style>a</style>b<script>c</script>d") == "bd"
+    assert files.sanitized('<img src="cid:1" alt="p"><img src="//e.example/t.gif" alt="q"><img src="x.png">') == '<img src="cid:1" alt="p">q'
+    assert files.sanitized('<a href="tel:+1">t</a><a href="//e.example">u</a><a href="/v">v</a><a href="vbscript:x">w</a>') == '<a href="tel:+1">t</a><a>u</a><a href="/v">v</a><a>w</a>'
+    assert files.sanitized("<iframe>a</iframe><form>b<input value=1><button>c</button></form><svg><p>d</p></svg>e<base href=x>") == "e"
+    assert files.sanitized("""<p style="color:red;background:url('http://e.example/x');@import 'a';width:expression(1)">x</p>""") == '<p style="color:red;background:none;width:blocked(1)">x</p>'
 
 
 def test_sinks(spark, tmp_path):
