@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import names as N
+from quire.functions.rewriting import request_digest as request_digest_of
 from quire.operators import relational as R
 from quire.plans.registry import CORE
 from quire.plans.relational_queries import _T, _tasks
@@ -142,6 +143,12 @@ def task_output(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "task_id", "display_no", "task_type", "task_label", "status", "progress", F.col("batch.key").alias("batch_key"), F.col("batch.index").alias("batch_index"), F.col("batch.total").alias("batch_total"), F.col("feedback.marked").alias("feedback_marked"), F.col("feedback.category").alias("feedback_category"), "created")
 
 
+@CORE.add("request_digest")
+def request_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by a digest that neither the order of keys nor outer blanks change."""
+    return _tasks(spark, d).select("id", request_digest_of(F.col("task_type"), F.col("params_json"), F.col("input_files_json")).alias("digest"))
+
+
 #: An own small table of names that mean one model.
 ALIASES = {"fast": "vendor/fast-1", "vendor fast 1": "vendor/fast-1", "precise": "vendor/precise-2", "en": "lang/english", "zh": "lang/chinese", "de": "lang/german"}
 

@@ -123,6 +123,53 @@ def docx_items(content: bytes) -> Iterator[tuple[str, str, str, bool, int]]:
                     yield ("table" if form == "row" else kind), part, text, extra, i
 
 
+def docx_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
+    """(table, row, column, text) of the cells of a DOCX body's tables, from 0 and in order; a cell's paragraphs are its lines."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    for t, table in enumerate(e for e in body.iter() if _local(e.tag) == "tbl"):
+        for r, row in enumerate(e for e in table if _local(e.tag) == "tr"):
+            for c, cell in enumerate(e for e in row if _local(e.tag) == "tc"):
+                lines = ["".join(x.text or "" for x in p.iter() if _local(x.tag) == "t") for p in cell if _local(p.tag) == "p"]
+                yield t, r, c, "\n".join(lines).strip()
+
+
+CELLS = "path string, table_no int, row_no int, column_no int, text string"
+
+
+def read_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Table cells of all DOCX files under a folder; files that can't be read have none (``read_items`` tells why)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = [(path, *cell) for cell in docx_cells(bytes(content))]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "table_no", "row_no", "column_no", "text"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(folder)
+    return files.select("path", "content").mapInPandas(run, CELLS)
+
+
+def pdf_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """PDF files in natural order of their paths with their pages, null where they can't be told.
+
+    Pages are counted by the page objects of the file, which compressed object streams hide; such files have no count.
+    """
+
+    @F.pandas_udf("int")
+    def pages(contents: pd.Series) -> pd.Series:
+        found = [len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", bytes(c))) if bytes(c[:5]) == b"%PDF-" else 0 for c in contents]
+        return pd.Series([n or None for n in found], dtype="Int32")
+
+    from quire.operators.relational import natural_key
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    return files.select("path", "length", pages("content").alias("page_count"), natural_key(F.col("path")).alias("order_key"))
+
+
 def xlsx_cells(content: bytes) -> Iterator[tuple[str, str, str, bool, int]]:
     """("cell", "sheet!A1", value, False, position) of an XLSX: shared and inline strings, numbers as written."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:

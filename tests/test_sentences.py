@@ -63,3 +63,45 @@ def test_transcripts(spark):
     doc = '{"transcripts":[{"channel_id":1,"sentences":[{"sentence_id":1,"words":[{"begin_time":120,"end_time":560,"text":"好","punctuation":"，"},{"begin_time":600,"end_time":null,"text":"x"}]}]},{"sentences":null}]}'
     got = transcript_words(spark.createDataFrame([("t", doc), ("u", "{"), ("v", None)], "task_id string, doc string"), "doc").collect()
     assert [(r["task_id"], r["channel_id"], r["word"], r["start"], r["stop"]) for r in got] == [("t", 1, "好，", 0.12, 0.56), ("t", 1, "x", 0.6, None)]
+
+
+def test_edits_keep_the_runs():
+    from quire.functions import rewriting as W
+
+    runs = ["The col", "our of ", "the sky"]
+    assert W.write_back(runs, [(4, 10, "color")]) == ["The color", " of ", "the sky"]
+    assert W.write_back(runs, [(0, 3, "A"), (14, 21, "a sea")]) == ["A col", "our of ", "a sea"]
+    assert W.write_back(runs, []) == runs and W.write_back([], []) == []
+    with pytest.raises(ValueError):
+        W.write_back(runs, [(0, 5, "x"), (4, 6, "y")])
+
+
+def test_digests_and_columns():
+    from quire.functions import rewriting as W
+
+    assert W.digest("t", '{"a": 1, "b": " x "}') == W.digest("t", '{"b": "x", "a": 1}') != W.digest("t", '{"b": "x", "a": 2}')
+    assert W.digest(None, None, "{broken") != W.digest(None, None, "{") and W.canonical({"b": {2, 1}, 1: [" a "]}) == {"1": ["a"], "b": [1, 2]}
+    assert W.column_named(["id", "Source Text", "target"], ["source", "原文"]) == "Source Text" and W.column_named([], ["x"]) is None
+
+
+def test_providers(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import providers as P
+
+    df = spark.createDataFrame([(i, f"text {i}" if i % 3 else None) for i in range(200)], "id int, t string").coalesce(1)
+    rows = df.select("id", "t", P.embedded(F.col("t")).alias("v"), P.translated(F.col("t"), "en", "de", lambda texts, a, b: [f"{b}:{t}" for t in texts]).alias("x")).collect()
+    assert all((r["v"] is None) == (r["t"] is None) and r["x"] == (None if r["t"] is None else f"de:{r['t']}") for r in rows)
+    assert all(abs(sum(x * x for x in r["v"]) - 1) < 1e-4 for r in rows if r["v"])
+
+
+def test_cells_and_pdf_listing(spark, tmp_path):
+    from quire.sources import files
+    from tests.test_operators import docx
+
+    (tmp_path / "a.docx").write_bytes(docx(["one"], [["c1", "c2"], ["c3"]]))
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "10.pdf").write_bytes(b"%PDF-1.4 /Type /Pages /Type /Page x /Type/Page y")
+    (tmp_path / "2.PDF").write_bytes(b"no pdf")
+    assert [tuple(r)[1:] for r in files.read_cells(spark, str(tmp_path)).collect()] == [(0, 0, 0, "c1"), (0, 0, 1, "c2"), (0, 1, 0, "c3")]
+    assert [(r["path"].rsplit("/", 1)[1], r["page_count"]) for r in files.pdf_listing(spark, str(tmp_path)).orderBy("order_key").collect()] == [("2.PDF", None), ("10.pdf", 2)]
