@@ -123,16 +123,20 @@ def short_forms(label: str) -> Iterator[str]:
 
 
 class Trie:
-    """Forms as nested dictionaries; the key ``""`` maps each entry to the errors its form may have."""
+    """Forms as nested nodes ``[children, ends]``: ``ends`` maps each entry to the errors its form may have, and a child stands
+    with the least and greatest length of the forms through it."""
 
     def __init__(self, forms: Iterable[tuple[str, int, int]]):
-        self.root: dict = {}
+        self.root: list = [{}, {}]
         for form, entry, slack in forms:
             node = self.root
             for c in form:
-                node = node.setdefault(c, {})
-            ends = node.setdefault("", {})
-            ends[entry] = max(slack, ends.get(entry, 0))
+                if c not in node[0]:
+                    node[0][c] = [[{}, {}], len(form), len(form)]
+                step = node[0][c]
+                step[1], step[2] = min(step[1], len(form)), max(step[2], len(form))
+                node = step[0]
+            node[1][entry] = max(slack, node[1].get(entry, 0))
 
     def search(self, query: str, most: int, more: int = 0) -> dict[int, int]:
         """Entry to distance, for all entries with a form within ``most`` errors of the query.
@@ -150,12 +154,12 @@ class Trie:
         stack = [(self.root, start, None, "")]
         while stack:
             node, state, before, last = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if (d := next((e for e, bits in enumerate(state) if bits & final), None)) is not None:
-                        for entry, slack in child.items():
-                            if d <= slack + more and d < best.get(entry, most + 1):
-                                best[entry] = d
+            if node[1] and (d := next((e for e, bits in enumerate(state) if bits & final), None)) is not None:
+                for entry, slack in node[1].items():
+                    if d <= slack + more and d < best.get(entry, most + 1):
+                        best[entry] = d
+            for c, (child, least, greatest) in node[0].items():
+                if least > n + most or greatest < n - most:  # an error changes the length by one at most
                     continue
                 hit = masks.get(c, 0)
                 new = [(state[0] << 1) & hit]
