@@ -16,7 +16,11 @@ from quire.sources.sinks import srt_blocks as blocks
 from quire.sources.tables import once, spread, table
 
 
-@CORE.add("pack_sentences")
+@CORE.add("pack_sentences", """WITH RECURSIVE s AS (SELECT doc_key, side, idx, n, row_number() OVER (PARTITION BY doc_key, side ORDER BY idx) AS k FROM (SELECT sent_id, any_value(doc_key) AS doc_key, any_value(side) AS side, any_value(idx) AS idx, coalesce(any_value(length(source_text)), 0)::BIGINT AS n FROM docx_sentences GROUP BY sent_id)),
+p AS (SELECT doc_key, side, idx, k, 0 AS group_no, 1 AS held, n AS size FROM s WHERE k = 1
+UNION ALL SELECT s.doc_key, s.side, s.idx, s.k, p.group_no + CASE WHEN p.held >= 15 OR p.size + s.n > 3000 THEN 1 ELSE 0 END, CASE WHEN p.held >= 15 OR p.size + s.n > 3000 THEN 1 ELSE p.held + 1 END, CASE WHEN p.held >= 15 OR p.size + s.n > 3000 THEN s.n ELSE p.size + s.n END
+FROM p JOIN s ON s.k = p.k + 1 AND s.doc_key IS NOT DISTINCT FROM p.doc_key AND s.side IS NOT DISTINCT FROM p.side)
+SELECT doc_key, side, (idx // 2000)::INT AS block, idx, group_no::INT AS group_no FROM p""")
 def pack_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "docx_sentences").select("sent_id", "doc_key", "side", "idx", F.coalesce(F.length("source_text"), F.lit(0)).alias("n")).dropDuplicates(["sent_id"]).drop("sent_id")
     return S.pack_sentences(rows)
@@ -28,7 +32,11 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode("c").alias("chunk_no", "chunk"))
 
 
-@CORE.add("weak_windows")
+@CORE.add("weak_windows", """WITH RECURSIVE l AS (SELECT *, coalesce(low_confidence, false) OR coalesce(score < 0.55, true) AS weak, row_number() OVER (PARTITION BY doc_key ORDER BY src_start, tgt_start, link_id) AS k, greatest(src_end - src_start, 1) + greatest(tgt_end - tgt_start, 0) AS size FROM alignment_links),
+w AS (SELECT doc_key, k, weak, src_start, src_end, tgt_start, tgt_end, size, CASE WHEN weak THEN size ELSE 0 END AS units, CASE WHEN weak THEN k END AS first FROM l WHERE k = 1
+UNION ALL SELECT l.doc_key, l.k, l.weak, l.src_start, l.src_end, l.tgt_start, l.tgt_end, l.size, CASE WHEN NOT l.weak THEN 0 WHEN w.weak AND w.units < 12 THEN w.units + l.size ELSE l.size END, CASE WHEN NOT l.weak THEN NULL WHEN w.weak AND w.units < 12 THEN w.first ELSE l.k END
+FROM w JOIN l ON l.k = w.k + 1 AND l.doc_key IS NOT DISTINCT FROM w.doc_key)
+SELECT doc_key, arg_min(src_start, k) AS src_start, max(src_end) AS src_end, arg_min(tgt_start, k) AS tgt_start, max(tgt_end) AS tgt_end, count(*)::INT AS links, sum(size)::INT AS units FROM w WHERE weak GROUP BY doc_key, first""")
 def weak_windows(spark: SparkSession, d: str) -> DataFrame:
     return S.weak_windows(table(spark, d, "alignment_links"))
 
@@ -46,6 +54,30 @@ def weak_runs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("run", run).filter("weak").groupBy("doc_key", "block", "run").agg(F.min("src_start").alias("src_start"), F.count("*").alias("links")).drop("block", "run")
 
 
+@CORE.add("weak_stretches", """WITH l AS (SELECT doc_key, src_start, link_id, coalesce(low_confidence, false) AS weak FROM alignment_links),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY src_start, link_id) - row_number() OVER (PARTITION BY doc_key, weak ORDER BY src_start, link_id) AS run FROM l)
+SELECT doc_key, min(src_start) AS src_start, count(*) AS links FROM n WHERE weak GROUP BY doc_key, run""")
+def weak_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of weak links over whole documents.
+
+    Runs are found inside blocks of 2,000 places; a run that reaches a block's end goes on with the one that begins the next, so no
+    task holds a long document.
+    """
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "alignment_links").select("doc_key", "src_start", "link_id", F.coalesce("low_confidence", F.lit(False)).alias("weak"), F.floor(F.col("src_start") / 2000).alias("block"))
+    order = Window.partitionBy("doc_key", "block").orderBy("src_start", "link_id")
+    changes = F.when(F.col("weak") == F.lag("weak").over(order), 0).otherwise(1)
+    runs = rows.withColumn("run", F.sum(changes).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_key", "block", "run").agg(F.first("weak").alias("weak"), F.min("src_start").alias("src_start"), F.count("*").alias("links"))
+    last = F.max("run").over(Window.partitionBy("doc_key", "block"))
+    edge = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == last))
+    by_block = Window.partitionBy("doc_key").orderBy("block", "run")
+    new = F.when((F.lag("weak").over(by_block) == F.col("weak")) & (F.lag("block").over(by_block) < F.col("block")), 0).otherwise(1)
+    joined = edge.filter("edge").withColumn("g", new).withColumn("g", F.sum("g").over(by_block.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("doc_key", "g").agg(F.first("weak").alias("weak"), F.min("src_start").alias("src_start"), F.sum("links").alias("links"))
+    return joined.filter("weak").select("doc_key", "src_start", "links").unionByName(edge.filter("NOT edge AND weak").select("doc_key", "src_start", "links"))
+
+
 def _subtitles(spark: SparkSession, d: str) -> DataFrame:
     return S.subtitles(once(table(spark, d, "asr_words"), "word_id").select("task_id", "channel_id", "word_id", "word_start", "word_end", "word"))
 
@@ -68,10 +100,12 @@ def vector_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.add("coverage_check")
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    """Rows at one position against the whole texts of their document; the key also tells the 200 rows they stand in."""
+    """Rows at one position against the texts of their document, from which every seventh row has been lost; the key also tells
+    the 200 rows they stand in."""
     rows = once(table(spark, d, "docx_sentences"), "sent_id").filter(F.length("source_text") > 0).withColumn("key", F.col("doc_key"))
+    kept = rows.filter(F.col("idx") % 7 != 3)
     joined = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("idx", "source_text")))), lambda x: x["source_text"]), "\n")
-    texts = rows.groupBy(F.col("key").alias("doc_key")).agg(joined("src").alias("src_text"), joined("tgt").alias("tgt_text"))
+    texts = kept.groupBy(F.col("key").alias("doc_key")).agg(joined("src").alias("src_text"), joined("tgt").alias("tgt_text"))
     src = rows.filter("side = 'src'").select("key", "idx", F.col("source_text").alias("src"))
     tgt = rows.filter("side = 'tgt'").select("key", "idx", F.col("source_text").alias("tgt"))
     pairs = src.join(tgt, ["key", "idx"]).select(F.col("key").alias("doc_key"), F.col("idx").alias("row_no"), "src", "tgt")
