@@ -11,7 +11,7 @@ from quire.operators import relational as R
 from quire.plans.registry import CORE
 from quire.plans.relational_queries import _T, _tasks
 from quire.plans.text_queries import _A, _B, _KINDS, _MEASURED, _kind_sql, _marked, _n, _segment_sql, _tokens_sql, _words_sql
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 #: What one item is measured by, in the order of the report.
 SCRIPTS = ("han", "kana", "hangul", *_KINDS, "cjk_punct")
@@ -77,9 +77,10 @@ def _billable_sql(prefix: str = "") -> str:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Items, each once, with all measures."""
-    rows = table(spark, d, "text_items").select("item_id", "file_id", F.lower(M.strip(F.col("source_type"))).alias("source_type"), F.coalesce("is_extra", F.lit(False)).alias("extra"), "text").dropDuplicates(["item_id"])
-    return measured(rows, ["item_id", "file_id", "source_type", "extra"])
+    """Items, each once, with all measures. Texts are measured where they are read; repeats are merged on the narrow result."""
+    rows = spread(table(spark, d, "text_items").select("item_id", "file_id", "source_type", "is_extra", "text"))
+    rows = rows.select("item_id", "file_id", F.lower(M.strip(F.col("source_type"))).alias("source_type"), F.coalesce("is_extra", F.lit(False)).alias("extra"), "text")
+    return measured(rows, ["item_id", "file_id", "source_type", "extra"]).dropDuplicates(["item_id"])
 
 
 @CORE.add("billable_counts", _ITEMS + f" SELECT item_id, {_billable_sql()} FROM m")
