@@ -38,6 +38,8 @@ LONGER = 0.01
 OFFERED = 110
 #: The program is solved again for the items that its rounding left while a round places this part of them.
 RESIDUAL = 0.3
+#: Capacities up to which the table of the knapsack is kept a byte a place; beyond it, a bit.
+PLAIN_BITS = 65_536
 #: Items per bucket that a rank is counted in.
 BUCKET_ITEMS = 100_000
 #: Capacity targets are a bounded list.
@@ -47,7 +49,7 @@ MOST_TARGETS = 1_000
 def knapsack(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each length fill a container to the greatest worth; counts are split into powers of two."""
     best = np.zeros(capacity + 1)
-    taken: list[tuple[int, int, np.ndarray]] = []
+    taken: list[tuple[int, int, int, np.ndarray]] = []
     for i in np.argsort(-sizes, kind="stable"):
         s, left, batch = int(sizes[i]), int(min(most[i], capacity // sizes[i])), 1
         while left > 0:
@@ -55,19 +57,19 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: i
             w = s * k
             if w > capacity:
                 break
-            with_it = best[:-w] + worth[i] * k if w else best
+            with_it = best[: capacity + 1 - w] + worth[i] * k
             better = with_it > best[w:] + 1e-12
             if better.any():
-                best[w:] = np.where(better, with_it, best[w:])
-                taken.append((int(i), k, np.packbits(np.concatenate([np.zeros(w, bool), better]))))
+                taken.append((int(i), k, w, better if capacity <= PLAIN_BITS else np.packbits(better)))
+                np.copyto(best[w:], with_it, where=better)
             left -= k
             batch *= 2
     counts = np.zeros(len(sizes), dtype=np.int64)
     at = int(np.argmax(best))
-    for i, k, bits in reversed(taken):
-        if (bits[at >> 3] >> (7 - (at & 7))) & 1:
+    for i, k, w, bits in reversed(taken):
+        if at >= w and (bits[at - w] if capacity <= PLAIN_BITS else (bits[(at - w) >> 3] >> (7 - ((at - w) & 7))) & 1):
             counts[i] += k
-            at -= int(sizes[i]) * k
+            at -= w
     return counts
 
 

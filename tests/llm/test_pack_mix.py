@@ -122,3 +122,14 @@ def test_a_text_is_drawn_when_any_copy_has_a_planned_source(spark):
     items = spark.createDataFrame(rows, "doc_id bigint, source string, text_key string, tokens int")
     plans = spark.createDataFrame([("p", "big", 1.0, 1, 1.0)], "plan_name string, source string, target_share double, max_repeats int, budget_share double")
     assert sorted(r["doc_id"] for r in X.mix(items, plans)[0].collect()) == [2, 4, 5]
+
+
+def test_the_knapsack_is_the_same_with_its_table_in_bits(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(30):
+        sizes = np.array(sorted(rng.sample(range(1, 60), 12)))
+        worth, most = np.array([rng.random() for _ in sizes]), np.array([rng.randrange(6) for _ in sizes])
+        plain = P.knapsack(sizes, worth, most, 200)
+        with monkeypatch.context() as m:
+            m.setattr(P, "PLAIN_BITS", 0)
+            assert (P.knapsack(sizes, worth, most, 200) == plain).all()
