@@ -23,8 +23,10 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,9 +158,11 @@ class Sentence:
 class Lexicon:
     """Partners of words with their strength, and the weight of a word by its rarity."""
 
-    def __init__(self, pairs: list[tuple[str, str, float]], shares: dict[str, float]):
+    def __init__(self, pairs: Iterable[tuple[str, str, float]], shares: dict[str, float]):
         self.partners: dict[str, dict[str, float]] = defaultdict(dict)
+        same = {w: w for w in shares}  # a word is one object, however many partners it has
         for x, y, dice in pairs:
+            x, y = same.setdefault(x, x), same.setdefault(y, y)
             self.partners[x][y] = max(dice, self.partners[x].get(y, 0.0))
             self.partners[y][x] = max(dice, self.partners[y].get(x, 0.0))
         self.shares = shares
@@ -503,6 +507,12 @@ def _glossary(glossary: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join in which no side may be broadcast. Spark takes a list for one entry, so a side made by ``explode``
+    is many times its estimate, and would be sent through the driver."""
+    return df.hint("merge")
+
+
 def learn(rows: DataFrame, terms: list[tuple]) -> tuple[DataFrame, DataFrame]:
     """The lexicon of the whole table: pairs ``x, y, dice`` and words ``w, share``.
 
@@ -543,7 +553,7 @@ def learn(rows: DataFrame, terms: list[tuple]) -> tuple[DataFrame, DataFrame]:
     single = cut_lineage(single)
     sided = links.select("s0", "t0", "kind", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("x").alias("ws")), F.struct(F.lit(False).alias("left"), F.col("y").alias("ws")))).alias("s")).select("s0", "t0", "kind", "s.left", F.explode("s.ws").alias("w"))
     word = F.struct("w", "c")
-    counted = sided.join(single, ["kind", "w"]).groupBy("s0", "t0", "kind").agg(F.collect_list(F.when(F.col("left"), word)).alias("x"), F.collect_list(F.when(~F.col("left"), word)).alias("y"))
+    counted = sided.join(shuffled(single), ["kind", "w"]).groupBy("s0", "t0", "kind").agg(F.collect_list(F.when(F.col("left"), word)).alias("x"), F.collect_list(F.when(~F.col("left"), word)).alias("y"))
     pairs = counted.select("kind", F.explode("x").alias("x"), "y").select("kind", "x", F.explode("y").alias("y"))
     # no pair is together more often than the rarer of its words is seen
     may = (F.col("x.w") != F.col("y.w")) & (2 * F.least("x.c", "y.c") >= LEAST_DICE * (F.col("x.c") + F.col("y.c")))
@@ -554,11 +564,29 @@ def learn(rows: DataFrame, terms: list[tuple]) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(found), cut_lineage(share)
 
 
-def sent_lexicon(found: DataFrame, share: DataFrame) -> tuple | None:
-    """The lexicon as plain values where it is small enough to be sent."""
+def packed(df: DataFrame) -> list[bytes]:
+    """Rows as compressed Arrow streams, which the tasks make: the driver holds these bytes, never the rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return [bytes(r["part"]) for r in df.mapInArrow(pack, "part binary").collect()]
+
+
+def unpacked(parts: list[bytes]) -> Iterator[tuple]:
+    for part in parts:
+        yield from zip(*(c.to_pylist() for c in pa.ipc.open_stream(part).read_all().columns), strict=True)
+
+
+def sent_lexicon(found: DataFrame, share: DataFrame) -> tuple[list[bytes], list[bytes]] | None:
+    """The lexicon where it is small enough to be sent, packed by the tasks and unpacked by those that align."""
     if found.count() > MOST_SENT or share.count() > MOST_SENT:
         return None
-    return [(r["x"], r["y"], float(r["dice"])) for r in found.collect()], {r["w"]: float(r["share"]) for r in share.collect()}
+    return packed(found.select("x", "y", "dice")), packed(share.select("w", "share"))
 
 
 def entries(placed: DataFrame, found: DataFrame, share: DataFrame, terms: list[tuple]) -> DataFrame:
@@ -575,7 +603,7 @@ def entries(placed: DataFrame, found: DataFrame, share: DataFrame, terms: list[t
     partners = both.groupBy(F.col("x").alias("w")).agg(F.collect_list(F.struct("y", "dice")).alias("partners"))
     known = share.join(partners, "w", "full_outer")
     here = placed.select(F.col("doc_key").alias("d"), F.col("block").alias("b"), F.explode(words.asNondeterministic()("text")).alias("w")).distinct()
-    return here.join(known, "w")
+    return here.join(shuffled(known), "w")
 
 
 LINKS = "doc_key string, src_id bigint, tgt_id bigint, src_idx int, tgt_idx int, score double"
@@ -592,7 +620,8 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
 
     def matched(group: pd.DataFrame, how, about: pd.DataFrame | None = None) -> pd.DataFrame:
         if not made:
-            made.append((Terms(terms), Lexicon(*(sent.value or ([], {})))))
+            pairs, words = sent.value or ([], [])
+            made.append((Terms(terms), Lexicon(unpacked(pairs), dict(unpacked(words)))))
         known, lexicon = made[0]
         if about is not None:
             pairs = [(w, p["y"], p["dice"]) for w, ps in zip(about["w"], about["partners"], strict=True) if ps is not None for p in ps]
@@ -640,7 +669,7 @@ def align_documents(sentences: DataFrame, glossary: DataFrame) -> DataFrame:
     links = cut_lineage(each(placed, align))
     # what no block linked meets all other such rows of its document
     linked = links.select("doc_key", F.explode(F.array("src_id", "tgt_id")).alias("sent_id")).distinct()
-    free = parts.join(linked, ["doc_key", "sent_id"], "left_anti").withColumn("core", F.lit(True)).withColumn("block", F.lit(-1))
+    free = parts.join(shuffled(linked), ["doc_key", "sent_id"], "left_anti").withColumn("core", F.lit(True)).withColumn("block", F.lit(-1))
     return links.unionByName(each(free, match_rest))
 
 
@@ -683,14 +712,14 @@ def blocks(rows: DataFrame, long: DataFrame, terms: list[tuple]) -> DataFrame:
             out += [(g["doc_key"].iloc[0], side, no, lo, hi) for side, lo, hi in (("src", i0, i1), ("tgt", j0, j1))]
         return pd.DataFrame(out, columns=["doc_key", "side", "block", "lo", "hi"])
 
-    return long.join(points, "doc_key", "left").groupBy("doc_key").applyInPandas(cut, "doc_key string, side string, block int, lo int, hi int")
+    return long.join(shuffled(points), "doc_key", "left").groupBy("doc_key").applyInPandas(cut, "doc_key string, side string, block int, lo int, hi int")
 
 
 def in_blocks(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows with their block and, not as its core, a margin of its neighbours; joined by bins of places."""
     bins = F.sequence(F.floor((F.col("lo") - MARGIN) / BLOCK_ROWS), F.floor((F.col("hi") + MARGIN) / BLOCK_ROWS))
     binned = cuts.withColumn("bin", F.explode(bins))
-    found = rows.withColumn("bin", F.floor(F.col("idx") / BLOCK_ROWS)).join(binned, ["doc_key", "side", "bin"])
+    found = rows.withColumn("bin", F.floor(F.col("idx") / BLOCK_ROWS)).join(shuffled(binned), ["doc_key", "side", "bin"])
     found = found.filter((F.col("idx") >= F.col("lo") - MARGIN) & (F.col("idx") < F.col("hi") + MARGIN))
     core = (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))
     return found.select(*rows.columns, "block", core.alias("core"))

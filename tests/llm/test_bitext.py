@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 from quire.llm import bitext as B
 
@@ -81,6 +82,40 @@ def test_a_large_lexicon_is_joined_with_the_same_result(spark, monkeypatch):
     assert sorted(map(tuple, run(spark, rows))) == sent
 
 
+def test_the_driver_never_holds_the_rows_of_a_lexicon_it_sends(spark):
+    found = spark.range(60_000).selectExpr("concat('left', id % 9000) as x", "concat('right', id) as y", "1 / (1 + id % 5) as dice")
+    share = spark.range(9_000).selectExpr("concat('left', id) as w", "id / 9000 as share")
+    tracemalloc.start()
+    pairs, words = B.sent_lexicon(found, share)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000 * 60
+    lexicon = B.Lexicon(B.unpacked(pairs), dict(B.unpacked(words)))
+    assert {(x, y, d) for x, ys in lexicon.partners.items() if x.startswith("left") for y, d in ys.items()} == {tuple(r) for r in found.collect()}
+    assert lexicon.shares == {r["w"]: r["share"] for r in share.collect()}
+
+
+def test_no_side_is_broadcast_by_an_estimate(spark, monkeypatch, tmp_path):
+    rows, _ = corpus(5)
+    rows += [(10_000 + 2 * i + k, "long", ("src", "tgt")[k], ("en", "zh")[k], i, (f"Section {i + 1000} describes the site plan.", f"第{i + 1000}节说明总平面图。")[k]) for i in range(60) for k in (0, 1)]
+    monkeypatch.setattr(B, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(B, "MOST_SENT", 0)
+    plans, cut = [], B.cut_lineage
+
+    def noted(df):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(B, "cut_lineage", noted)
+    glossary = spark.createDataFrame(TERMS, "term_id int, term_en string, term_zh string, term_de string, term_ja string")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path := str(tmp_path / "sentences"))  # files have an estimate
+    plans.append(B.align_documents(spark.read.parquet(path), glossary))
+    assert len(plans) > 6
+    for df in plans:
+        q = df._jdf.queryExecution()
+        assert q.sparkPlan().toString().count("BroadcastHashJoin") == q.optimizedPlan().toString().count("strategy=broadcast"), df.columns
+
+
 def test_long_sentences_teach_words_too(spark):
     filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
     rows = []
